@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_mpegts import op1_mpegts
+from .op10_oddsketch import op10_oddsketch
 from .op3_bytes import op3_bytes
 from .op5_harmonic import op5_harmonic
 from .op8_pivotal import op8_pivotal
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bytes": op3_bytes,
     "op5_harmonic": op5_harmonic,
     "op8_pivotal": op8_pivotal,
+    "op10_oddsketch": op10_oddsketch,
 }
 ORACLE_SQL: dict[str, str] = {}
