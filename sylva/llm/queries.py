@@ -10,12 +10,14 @@ from .op1_mpegts import op1_mpegts
 from .op10_oddsketch import op10_oddsketch
 from .op3_bytes import op3_bytes
 from .op5_harmonic import op5_harmonic
+from .op6_suffix import op6_suffix
 from .op8_pivotal import op8_pivotal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpegts": op1_mpegts,
     "op3_bytes": op3_bytes,
     "op5_harmonic": op5_harmonic,
+    "op6_suffix": op6_suffix,
     "op8_pivotal": op8_pivotal,
     "op10_oddsketch": op10_oddsketch,
 }
