@@ -11,6 +11,7 @@ from .op10_oddsketch import op10_oddsketch
 from .op3_bytes import op3_bytes
 from .op5_harmonic import op5_harmonic
 from .op6_suffix import op6_suffix
+from .op7_langid import language_of_pages, op7_langid
 from .op8_pivotal import op8_pivotal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bytes": op3_bytes,
     "op5_harmonic": op5_harmonic,
     "op6_suffix": op6_suffix,
+    "op7_langid": op7_langid,
     "op8_pivotal": op8_pivotal,
     "op10_oddsketch": op10_oddsketch,
+    "language_of_pages": language_of_pages,
 }
 ORACLE_SQL: dict[str, str] = {}
