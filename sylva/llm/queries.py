@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_mpegts import op1_mpegts
 from .op10_oddsketch import op10_oddsketch
 from .op3_bytes import op3_bytes
+from .op4_license import op4_license
+from .op4_license import oracle as license_sql
 from .op5_harmonic import op5_harmonic
 from .op6_suffix import op6_suffix
 from .op7_langid import language_of_pages, op7_langid
@@ -17,6 +19,7 @@ from .op8_pivotal import op8_pivotal
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpegts": op1_mpegts,
     "op3_bytes": op3_bytes,
+    "op4_license": op4_license,
     "op5_harmonic": op5_harmonic,
     "op6_suffix": op6_suffix,
     "op7_langid": op7_langid,
@@ -24,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_oddsketch": op10_oddsketch,
     "language_of_pages": language_of_pages,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license": license_sql()}
