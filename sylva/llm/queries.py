@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_mpegts import op1_mpegts
 from .op10_oddsketch import op10_oddsketch
+from .op2_brown import op2_brown
 from .op3_bytes import op3_bytes
 from .op4_license import op4_license
 from .op4_license import oracle as license_sql
@@ -18,6 +19,7 @@ from .op8_pivotal import op8_pivotal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpegts": op1_mpegts,
+    "op2_brown": op2_brown,
     "op3_bytes": op3_bytes,
     "op4_license": op4_license,
     "op5_harmonic": op5_harmonic,
