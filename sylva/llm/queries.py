@@ -16,6 +16,7 @@ from .op5_harmonic import op5_harmonic
 from .op6_suffix import op6_suffix
 from .op7_langid import language_of_pages, op7_langid
 from .op8_pivotal import op8_pivotal
+from .op9_parsing import op9_parsing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpegts": op1_mpegts,
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix": op6_suffix,
     "op7_langid": op7_langid,
     "op8_pivotal": op8_pivotal,
+    "op9_parsing": op9_parsing,
     "op10_oddsketch": op10_oddsketch,
     "language_of_pages": language_of_pages,
 }
