@@ -114,50 +114,73 @@ def _sifted(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.filter(F.expr(" + ".join(f"bit_count(odd_u[{i}] ^ odd_v[{i}])" for i in range(SKETCH_BITS // 64))) <= most).select("u", "v")
 
 
-def _cross_pairs(members: DataFrame, most: int) -> DataFrame:
-    """Within each bucket, pairs of different components whose sketches are near; the bucket's leader was compared before.
+def _linked_across(rows: list[tuple], sets: list[np.ndarray], most: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between the components of a group's members, enough to join what is linked.
 
-    members: bucket, node, component, odd, size (rows of the bucket). Large buckets are split into blocks,
-    each two of which meet in a group of their own, so a group holds about 2 * BLOCK rows.
+    A pair is met in the first band that it shares, unless its components are joined already, its sketches or
+    sizes rule it out, or both members are of one block in a group of two blocks.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("n", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    band, i, j = rows[0][1], rows[0][2], rows[0][3]
+    odd, bands = np.array([r[7] for r in rows], np.int64).view(_U), np.array([r[8] for r in rows], np.int64)
+    block, size = np.array([r[4] for r in rows]), np.array([len(x) for x in sets])
+    names: dict[bytes, int] = {}
+    comp = np.array([names.setdefault(r[6], len(names)) for r in rows])
+    out = []
+    for x in range(len(rows) - 1):
+        y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
+        if i != j:
+            y = y[block[y] != block[x]]
+        y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & ~(bands[y, :band] == bands[x, :band]).any(1)]
+        bits = _popcount(odd[y], odd[x])
+        for k in y[np.argsort(bits, kind="stable")][: int((bits <= most).sum())]:
+            if comp[k] != comp[x] and similar(sets[x], sets[k], percent):
+                out.append((min(rows[x][5], rows[k][5]), max(rows[x][5], rows[k][5])))
+                comp[comp == comp[k]] = comp[x]
+    return out
+
+
+def _across(members: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
+    """Links (u, v) within buckets and across components, confirmed where the members meet.
+
+    members: bucket, band, node, component, odd, bands, size (rows of the bucket). Large buckets are split into blocks,
+    each two of which meet in a group of their own, so a group holds about 2 * BLOCK texts; only links leave it.
+    """
+    dealt = members.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "component", "odd")
-    sorted_ = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = dealt.select("bucket", "band", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "component", "odd", "bands")
+    met = dealt.join(texts, "node").select(*dealt.columns, "text")
+    met = met.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def near(rows: list[tuple]) -> pa.RecordBatch | None:
-            if len(rows) < 2:
-                return None
-            i, j = rows[0][1], rows[0][2]
-            odd = np.array([r[6] for r in rows], np.int64).view(_U)
-            side = np.array([r[3] for r in rows])
-            names: dict[bytes, int] = {}
-            comp = np.array([names.setdefault(r[5], len(names)) for r in rows])
-            u, v = [], []
-            for x in range(len(rows) - 1):
-                ok = comp[x + 1 :] != comp[x]
-                if i != j:
-                    ok &= side[x + 1 :] != side[x]
-                y = np.flatnonzero(ok) + x + 1
-                y = y[_popcount(odd[y], odd[x]) <= most]
-                u += [rows[x][4]] * len(y)
-                v += [rows[k][4] for k in y]
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"]) if u else None
-
-        held: list[tuple] = []
+        def linked(rows: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+            found = _linked_across(rows, sets, most, percent) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+        held, sets = [], []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    if (out := near(held)) is not None:
-                        yield out
-                    held = []
-                held.append(row)
-        if (out := near(held)) is not None:
-            yield out
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
+            for a, b, data, bounds in byte_runs(batch.column(len(batch.columns) - 1)):
+                values, at = shingle_sets(data, bounds, words)
+                for r in range(a, b):
+                    if held and held[0][:4] != rows[r][:4]:
+                        yield linked(held, sets)
+                        held, sets = [], []
+                    held.append(rows[r])
+                    sets.append(values[at[r - a] : at[r - a + 1]].copy())
+        if held:
+            yield linked(held, sets)
+
+    return met.mapInArrow(run, "u binary, v binary").distinct()
+
 
-    return sorted_.mapInArrow(run, "u binary, v binary").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, not empty, have 100 * intersection >= percent * union."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[place] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -184,15 +207,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     own = values[at[r - a] : at[r - a + 1]]
                     if roles[r] == 0:
                         leader, mine = us[r], own
-                    elif us[r] == leader and len(own) and len(mine):
-                        small, large = (own, mine) if len(own) < len(mine) else (mine, own)
-                        if 100 * len(small) < percent * len(large):
-                            continue
-                        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int((large[place] == small).sum())
-                        if 100 * both >= percent * (len(own) + len(mine) - both):
-                            out_u.append(us[r])
-                            out_v.append(nodes[r])
+                    elif us[r] == leader and similar(own, mine, percent):
+                        out_u.append(us[r])
+                        out_v.append(nodes[r])
             yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary())], names=["u", "v"])
 
     return met.mapInArrow(run, "u binary, v binary").distinct()
@@ -205,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     Rows with one set are one node. In every bucket of one band the smallest node leads; pairs with the
     leader that odd sketches don't rule out are confirmed on full sets and joined to components. Then, in
     buckets that still hold several components, all pairs across components are sifted by sketches and
-    confirmed the same way: no bucket or partner is capped. At 24 bands of 3 rows a pair of similarity 0.8 shares no
+    confirmed where they meet, and only links leave the group: no bucket or partner is capped. At 24 bands of 3 rows a pair of similarity 0.8 shares no
     bucket, or is ruled out, with probability below 1e-7.
 
     Null or empty text and text without words have an empty set and are linked with nothing. Null doc_ids take
@@ -215,22 +232,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sign = written(signatures(docs, words, bands, rows), "signatures")
     nodes = sign.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fold")).alias("rep"), F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("odd").alias("odd"))
     nodes = written(nodes, "nodes")
-    banded = nodes.select("node", "odd", F.posexplode("bands").alias("band", "key")).select("node", "odd", F.xxhash64("band", "key").alias("bucket"), "band", "key")
-    lead = banded.groupBy("bucket", "band", "key").agg(F.min(F.struct("node", "odd")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    buckets = written(banded.join(lead, ["bucket", "band", "key"]).select("bucket", "node", "odd", F.col("lead.node").alias("leader"), F.col("lead.odd").alias("odd_leader"), "size"), "buckets")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded.groupBy("bucket", "band").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = written(banded.join(shared, ["bucket", "band"]), "buckets")
+    buckets = buckets.join(buckets.groupBy("bucket", "band").agg(F.min("node").alias("leader")), ["bucket", "band"])
     most = most_odd_bits(bands * rows, percent)
-    stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v"), F.col("odd_leader").alias("odd_u"), F.col("odd").alias("odd_v")).dropDuplicates(["u", "v"])
+    stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("odd").alias(f"odd_{name}"))
+    stars = stars.join(of("u"), "u").join(of("v"), "v")
     stars = _sifted(stars, most)
     shared = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep.fold").alias("_fold"))
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fold"))
     texts = written(keyed.join(shared, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fold") == F.col("_fold"))).select("node", "text"), "texts")
     edges = written(confirmed(stars, texts, words, percent), "edges")
     comp = written(components(edges), "components")
-    several = buckets.filter("size > 2 and node <> leader").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).select("bucket", "node", "odd", "component", "size")
-    open_ = several.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    cross = written(_cross_pairs(several.join(open_, "bucket"), most), "cross")
-    if not cross.isEmpty():
-        comp = written(components(edges.unionByName(confirmed(cross, texts, words, percent))), "components")
+    several = buckets.filter("size > 2 and node <> leader").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = several.groupBy("bucket", "band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket", "band")
+    members = several.join(open_, ["bucket", "band"]).join(nodes.select("node", "odd", "bands"), "node")
+    across = written(_across(members, texts, words, most, percent), "across")
+    if not across.isEmpty():
+        comp = written(components(edges.unionByName(across)), "components")
     named = nodes.select("node", "least").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
