@@ -33,3 +33,14 @@ def byte_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 def op3_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_shards(documents(spark, sf_dir), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 is folded over each text's bytes by its table, which the first two expressions make.
+ORACLE = """
+with crc as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+texts as (select distinct coalesce(text, '') as text from documents),
+sums as (select text, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as text_crc32 from texts, crc),
+sized as (select doc_id, strlen(coalesce(d.text, '')) + 1 as size, text_crc32 from documents d join sums on sums.text = coalesce(d.text, '')),
+placed as (select *, coalesce(sum(size) over (order by doc_id nulls first, text_crc32, size rows between unbounded preceding and 1 preceding), 0) as start from sized),
+cut as (select *, cast(least(7, start * 8 // (select sum(size) from sized)) as int) as shard from placed)
+select doc_id, cast(size as bigint) as size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by start) - 1 as slot, cast(null as int) as grown_shard from cut"""

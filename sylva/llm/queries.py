@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_mpegts import op1_mpegts
 from .op10_oddsketch import op10_oddsketch
 from .op2_brown import op2_brown
+from .op3_bytes import ORACLE as BYTES_SQL
 from .op3_bytes import op3_bytes
 from .op4_license import op4_license
 from .op4_license import oracle as license_sql
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_oddsketch": op10_oddsketch,
     "language_of_pages": language_of_pages,
 }
-ORACLE_SQL: dict[str, str] = {"op4_license": license_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_bytes": BYTES_SQL, "op4_license": license_sql()}
