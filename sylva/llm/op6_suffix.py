@@ -278,8 +278,8 @@ def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Da
     docs = docs.drop(*added)
     columns = docs.columns
     numbered = _numbered(docs)
-    spans = repeated_spans(numbered, match, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    joined = numbered.join(spans, F.col("_doc") == F.col("doc"), "left").select(*columns, "_spans")
+    spans = repeated_spans(numbered, match, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc", "_of")
+    joined = numbered.join(spans, F.col("_doc") == F.col("_of"), "left").select(*columns, "_spans")
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
