@@ -202,7 +202,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined(F.when(base | F.col("kept"), F.col("label"))).alias("labels"), F.max(F.when(F.col("kept"), (F.col("priority") + 1) / (TAG + 1))).alias("score"),
     )
-    out = scanned.select("doc_id", "n_words", F.when(F.size("hits") > 0, F.col("key")).alias("key")).join(per, "key", "left")
+    # Texts without a hit, most of them, stay out of the join; per is written, so that a text with many copies can be split there.
+    n_hits = F.coalesce(F.size("hits"), F.lit(0))
+    per = written(per, "found")
+    out = scanned.filter(n_hits > 0).select("doc_id", "n_words", "key").join(per, "key")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in per.dtypes if c != "key"]
+    out = out.drop("key").unionByName(scanned.filter(n_hits <= 0).select("doc_id", "n_words", *none))
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
