@@ -65,3 +65,17 @@ def shard(key: Column) -> Column:
 def segments(path: Column) -> Column:
     """The non-empty segments of a path (FN-13)."""
     return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def byte_range(text: Column) -> dict[str, Column]:
+    """start and end of START-END, end exclusive and optional; both null if malformed (FN-28)."""
+    number = lambda group: F.regexp_extract(text, "^([0-9]+)-([0-9]*)$", group)
+    return {"start": F.when(number(1) != "", number(1).cast("long")), "end": F.when(number(2) != "", number(2).cast("long"))}
+
+
+def remaining(ms: Column) -> Column:
+    """Milliseconds as the largest of weeks, days, hours, minutes, rounded down, or seconds, rounded up; expired from 0 down (FN-11)."""
+    out = F.when(ms <= 0, "expired")
+    for unit in "wdhm":
+        out = out.when(ms >= UNITS[unit], F.concat(F.floor(ms / UNITS[unit]).cast("string"), F.lit(unit)))
+    return out.otherwise(F.concat(F.ceil(ms / UNITS["s"]).cast("string"), F.lit("s")))

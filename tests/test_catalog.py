@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from sylva.plans import catalog
+from sylva.plans import catalog, transfer  # noqa: F401  transfer adds its queries to the catalog's
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
