@@ -91,16 +91,25 @@ class SuffixFamily:
         return again
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with doc, a number in the order of doc_id: doc_id itself where that is unique, else the place of (doc_id, text hash)."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with doc, a number in the order of doc_id, and the same with one row of each doc.
+
+    The number is doc_id itself where that is unique, else the place of (doc_id, text hash), which repeated rows share.
+    Only rows that are repeated are shuffled to find one of each.
+    """
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if twice.isEmpty():
-        return docs.withColumn("_doc", F.col("doc_id"))
+        numbered = docs.withColumn("_doc", F.col("doc_id"))
+        return numbered, numbered
     fold = F.xxhash64(F.coalesce("text", F.lit("")))
-    places = in_order(docs.select("doc_id", fold.alias("_fold")).distinct(), F.col("doc_id"), F.col("_fold"))
-    places = places.select(F.col("doc_id").alias("_id"), "_fold", F.col("row_no").alias("_doc"))
+    kinds = docs.select("doc_id", fold.alias("_fold")).groupBy("doc_id", "_fold").agg(F.count("*").alias("_copies"))
+    places = in_order(kinds, F.col("doc_id"), F.col("_fold"))
+    places = places.select(F.col("doc_id").alias("_id"), "_fold", F.col("row_no").alias("_doc"), "_copies")
     keyed = docs.withColumn("_key", fold)
-    return written(keyed.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_fold"))).drop("_id", "_fold", "_key"), "numbered")
+    placed = written(keyed.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_fold"))).drop("_id", "_fold", "_key"), "numbered")
+    narrow = placed.select("_doc", "text", "_copies")
+    single = narrow.filter("_copies = 1").unionByName(narrow.filter("_copies > 1").dropDuplicates(["_doc"]))
+    return placed.drop("_copies"), single.drop("_copies")
 
 
 def _groups(docs: DataFrame, match: int, gram: int) -> DataFrame:
@@ -241,7 +250,7 @@ def _by_hash(contents: DataFrame, match: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
-    """doc, start, n: runs of n windows, from byte start on, that stand earlier too. docs has _doc and text.
+    """doc, start, n: runs of n windows, from byte start on, that stand earlier too. docs has _doc, each once, and text.
 
     Windows are grouped by anchor. Whole groups that repeat are found by hash; where unlike groups
     share a gram, their bytes go to suffix families, each of which takes its tasks' groups in order.
@@ -277,8 +286,8 @@ def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Da
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*added)
     columns = docs.columns
-    numbered = _numbered(docs)
-    spans = repeated_spans(numbered, match, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc", "_of")
+    numbered, single = _numbered(docs)
+    spans = repeated_spans(single, match, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc", "_of")
     joined = numbered.join(spans, F.col("_doc") == F.col("_of"), "left").select(*columns, "_spans")
     place = columns.index("text")
 

@@ -267,6 +267,20 @@ def test_repeats_with_shared_ids(docs):
     assert len(twice) == 2 and len(set(twice)) == 1
 
 
+def test_repeated_rows_keep_one_copy(spark, docs):
+    rng = random.Random(6)
+    once, passage = words(rng, 60), words(rng, 40)
+    rows = [(1, once), (1, once), (2, passage + " " + words(rng, 20)), (2, "other " + passage), (3, passage), (3, passage), (3, passage), (None, words(rng, 50)), (4, "short"), (4, "short")]
+    rows += [rows[7]]
+    for table in (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), docs.select("doc_id", "text")):
+        fold = F.xxhash64(F.coalesce("text", F.lit("")))
+        rows = table.withColumn("fold", fold).collect()
+        key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.fold)
+        want = _repeats({key(r): (key(r), r.text) for r in rows}.values())
+        got = without_repeats(table.withColumn("fold", fold)).collect()
+        assert sorted((key(r), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((key(r), *want[key(r)]) for r in rows)
+
+
 def test_suffix_family():
     rng, family, seen = random.Random(2), SuffixFamily(5), set()
     for _ in range(40):
