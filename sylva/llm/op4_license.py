@@ -22,7 +22,7 @@ BASE, NAME, VERSION, TAG = range(4)
 class Rule:
     """A signature over tokens: each word of a text is written with a space on either side, so ` mit  license ` is two words.
 
-    keyword: a word without which pattern can't match.
+    keyword: a word of the family's names. What a text must have for the rule to run is gate_word's.
     """
 
     label: str
@@ -148,6 +148,11 @@ RULES = rules()
 GATES = ("licen", "gpl", "cc", "apache", "mozilla", "mpl", "eupl", "cecill", "bsd", "commons", "domain", "permission", "redistribution", "rights", "spdx", "wtfpl", "released", "distributed", "available")
 
 
+def gate_word(rule: Rule) -> str:
+    """A word that every match of rule holds. A tag has the family's short label, which may lack the name's keyword."""
+    return "spdx" if rule.priority == TAG else rule.keyword
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -156,7 +161,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """Finds license phrases and signatures in each whole text.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. Only texts with a gate
-    word are split into tokens, and only rules whose keyword they have are run on them. A detection is suppressed if its interval of words
+    word are split into tokens, and only rules whose gate_word they have are run on them. A detection is suppressed if its interval of words
     lies within one of higher priority, or of the same priority and longer (of equal ones the first rule's stays).
     labels are those of the detections that stay and of all base places; score is the best detection's confidence,
     a quarter for a base phrase up to 1 for a machine-readable tag, and 0 without any.
@@ -178,7 +183,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "n_words", F.explode(F.array("_m")).alias("_m")).select("doc_id", "n_words", F.col("_m.key").alias("key"), F.expr("substring(_m.m, 2, length(_m.m) - 2)").alias("norm"))
     by_keyword: dict[str, list[int]] = {}
     for i, r in enumerate(RULES):
-        by_keyword.setdefault(r.keyword, []).append(i)
+        by_keyword.setdefault(gate_word(r), []).append(i)
     known = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(RULES[i].pattern).alias("p")) for i in ids]).alias("r")) for k, ids in by_keyword.items()])
     usable = F.flatten(F.transform(F.filter(known, lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k["k"], F.lit(" ")))), lambda k: k["r"]))
     matching = F.filter(usable, lambda r: F.rlike("norm", r["p"]))
@@ -216,7 +221,10 @@ def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL: every rule whose keyword a text has, then windows."""
+    """The same in DuckDB's SQL: every rule whose keyword a text has, then windows.
+
+    For tags this gate is narrower than license_scan's: a text with a tag and without its family's keyword differs.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({i}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(r.pattern)}, {r.priority})" for i, r in enumerate(RULES))
     spaces = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"

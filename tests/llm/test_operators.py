@@ -187,6 +187,39 @@ def test_license_scan(spark, docs):
     assert len(RULES) > 300
 
 
+def _example(pattern):
+    """A text that pattern matches: of options the first, of what may be left out nothing."""
+    from re import _parser
+
+    def made(parts):
+        out = ""
+        for kind, x in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(x)
+            elif kind == "IN":
+                out += chr(x[0][1])
+            elif kind == "BRANCH":
+                out += made(x[1][0])
+            elif kind == "SUBPATTERN":
+                out += made(x[3])
+            else:
+                assert kind == "MAX_REPEAT", kind
+                out += made(x[2]) * x[0]
+        return out
+
+    return made(_parser.parse(pattern))
+
+
+def test_each_license_rule_runs_on_its_own_text(spark):
+    texts = [_example(r.pattern) for r in RULES]
+    assert all(re.search(r.pattern, t) for r, t in zip(RULES, texts))
+    texts = [" ".join(t.split()) for t in texts] + ["SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: MS-PL"]
+    got = {r.doc_id: (r.n_words, r.n_base, r.base_labels, r.labels) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [_licenses(t) for t in texts]
+    assert got[len(texts) - 2][3] == "epl-2.0" and got[len(texts) - 1][3] == "ms-pl"
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------
 
 
