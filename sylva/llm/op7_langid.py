@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_runs, documents, lower_ascii, written
 
-#: Buckets that byte trigrams are hashed to, and languages that a model holds at most (the most frequent labels).
-BUCKETS, LANGUAGES = 1 << 14, 64
+#: Buckets that byte trigrams are hashed to, labels whose counts a task holds before it gives them on, and languages whose evidence is summed at once.
+BUCKETS, HELD, ABREAST = 1 << 14, 256, 64
 #: Overlapping trigrams tell each byte three times.
 TEMPER = 1 / 3
 #: Weights of the wider level in a smoothed prior: global in suffix, suffix in host.
@@ -35,7 +35,8 @@ def _codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit_trigrams(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """labelled(text, label) -> the languages and the log probabilities of buckets in each; over all rows with a label.
 
-    What reaches the driver is the model: at most LANGUAGES * BUCKETS counts.
+    Every label counts, by its first part in lower case: en, EN and en-US are one. What reaches the driver is the
+    model: at most BUCKETS counts a language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,21 +55,28 @@ def fit_trigrams(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 names = sorted(set(labels[a:b]))
                 index = {x: i for i, x in enumerate(names)}
                 of = np.array([index[x] for x in labels[a:b]])
+                if len(names) > HELD:
+                    key, n = np.unique(of[row] * BUCKETS + code, return_counts=True)
+                    own_label = pa.array(names, pa.string()).take(pa.array(key // BUCKETS))
+                    yield pa.RecordBatch.from_arrays([own_label, pa.array((key % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64))], names=["label", "bucket", "n"])
+                    continue
                 n = np.bincount(of[row] * BUCKETS + code, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
                 for x, own in zip(names, n):
                     held[x] = held[x] + own if x in held else own
-                if len(held) > 4 * LANGUAGES:
+                if len(held) > HELD:
                     yield from out()
         yield from out()
 
-    rows = labelled.select("text", "label").filter("label is not null and text is not null")
+    label = F.lower(F.regexp_extract("label", r"^\s*([^-_\s]+)", 1)).alias("label")
+    rows = labelled.select("text", label).filter("label <> '' and text is not null")
     counts = written(rows.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()]
-    table = np.full((len(top), BUCKETS), 0.5)
-    for r in counts.filter(F.col("label").isin(top)).select("label", "bucket", "n").toLocalIterator():
-        table[top.index(r["label"]), r["bucket"]] += r["n"]
-    order = sorted(range(len(top)), key=top.__getitem__)
-    return [top[i] for i in order], np.log(table / table.sum(1, keepdims=True))[order]
+    languages = sorted(r["label"] for r in counts.select("label").distinct().collect())
+    place = {x: i for i, x in enumerate(languages)}
+    table = np.full((len(languages), BUCKETS), 0.5)
+    for r in counts.toLocalIterator():
+        table[place[r["label"]], r["bucket"]] += r["n"]
+    table /= table.sum(1, keepdims=True)
+    return languages, np.log(table, out=table)
 
 
 def text_evidence(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
@@ -86,7 +94,8 @@ def text_evidence(docs: DataFrame, languages: list[str], model: np.ndarray) -> D
                 out = np.zeros((b - a, k))
                 if len(code):
                     begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    out[row[begin]] = np.add.reduceat(table[code], begin, axis=0, dtype=np.float64)
+                    for j in range(0, k, ABREAST):
+                        out[row[begin], j : j + ABREAST] = np.add.reduceat(table[code, j : j + ABREAST], begin, axis=0, dtype=np.float64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * k, pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + [lists], names=[*columns, "evidence"])
 
@@ -108,27 +117,31 @@ def fused(evidence: DataFrame, languages: list[str]) -> DataFrame:
     names = [*languages, NONE]
     k = len(names)
     guessed = written(evidence.withColumn("_guess", _best(F.col("evidence"))), "guessed")
-    ones = [F.count(F.when(F.col("_guess") == i + 1, 1)) for i in range(k)]
-    total = guessed.agg(F.array(*ones).alias("n")).first()["n"]
+    tally = F.map_from_entries(F.collect_list(F.struct("_guess", "_n")))
+    numbers = F.sequence(F.lit(1), F.lit(k))
+    of = lambda counts, i: F.coalesce(F.try_element_at(counts, i), F.lit(0))
+    literal = lambda values: F.lit([float(x) for x in values])
+
+    def summed(rows: DataFrame) -> list[int]:
+        found = dict(rows.groupBy("_guess").agg(F.sum("_n")).collect())  # at most k rows
+        return [found.get(i + 1, 0) for i in range(k)]
+
+    hosts = written(guessed.groupBy("suffix", "host", "_guess").agg(F.count("*").alias("_n")), "hosts")
+    total = summed(hosts)
     overall = [(n + 1) / (sum(total) + k) for n in total]
-    declared = guessed.filter("declared is not null").groupBy("declared").agg(F.array(*ones).alias("_declared_n"))
-    declared = written(declared, "declared")
-    sums = declared.agg(F.count("*").alias("kinds"), F.array(*[F.sum(F.col("_declared_n")[i]) for i in range(k)]).alias("n")).first()
-    kinds, per = sums["kinds"] or 1, [x or 0 for x in sums["n"]]
-    told = F.array(*[F.log((F.col("_declared_n")[i] + 1.0) / float(per[i] + kinds + 1)) for i in range(k)])
-    declared = declared.select(F.col("declared").alias("_declared"), told.alias("_told"))
-    hosts = guessed.groupBy("suffix", "host").agg(F.array(*ones).alias("_host_n"))
-    hosts = written(hosts, "hosts")
-    suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.col("_host_n")[i]) for i in range(k)]).alias("_n"))
-    all_n = sum((F.col("_n")[i] for i in range(1, k)), F.col("_n")[0])
-    prior = F.array(*[(F.col("_n")[i] + F.lit(SUFFIX_WEIGHT * overall[i])) / (all_n + SUFFIX_WEIGHT) for i in range(k)])
+    declared = written(guessed.filter("declared is not null").groupBy("declared", "_guess").agg(F.count("*").alias("_n")), "declared")
+    kinds, per = declared.select("declared").distinct().count() or 1, summed(declared)
+    told = F.transform(literal(n + kinds + 1 for n in per), lambda n, i: F.log((of(F.col("_declared_n"), i + 1) + 1.0) / n))
+    declared = declared.groupBy("declared").agg(tally.alias("_declared_n")).select(F.col("declared").alias("_declared"), told.alias("_told"))
+    suffixes = hosts.groupBy("suffix", "_guess").agg(F.sum("_n").alias("_n")).groupBy("suffix").agg(F.sum("_n").alias("_all"), tally.alias("_suffix_n"))
+    prior = F.transform(literal(SUFFIX_WEIGHT * x for x in overall), lambda x, i: (of(F.col("_suffix_n"), i + 1) + x) / (F.col("_all") + SUFFIX_WEIGHT))
     suffixes = suffixes.select(F.col("suffix").alias("_s"), prior.alias("_suffix"))
-    hosts = hosts.join(suffixes, F.col("suffix").eqNullSafe(F.col("_s"))).select(F.col("suffix").alias("_s"), F.col("host").alias("_h"), "_host_n", "_suffix")
+    hosts = hosts.groupBy("suffix", "host").agg((F.sum("_n") - 1).alias("_others"), tally.alias("_host_n"))
+    hosts = hosts.join(suffixes, F.col("suffix").eqNullSafe(F.col("_s"))).select(F.col("suffix").alias("_s"), F.col("host").alias("_h"), "_others", "_host_n", "_suffix")
     rows = guessed.join(declared, F.col("declared") == F.col("_declared"), "left")
     rows = rows.join(hosts, F.col("suffix").eqNullSafe(F.col("_s")) & F.col("host").eqNullSafe(F.col("_h")))
-    host_n = sum((F.col("_host_n")[i] for i in range(1, k)), F.col("_host_n")[0]) - 1
-    own = [F.col("_host_n")[i] - F.when(F.col("_guess") == i + 1, 1).otherwise(0) for i in range(k)]
-    score = F.array(*[F.col("evidence")[i] + F.coalesce(F.col("_told")[i], F.lit(0.0)) + F.log((own[i] + F.col("_suffix")[i] * HOST_WEIGHT) / (host_n + HOST_WEIGHT)) for i in range(k)])
+    own = lambda i: of(F.col("_host_n"), i) - F.when(F.col("_guess") == i, 1).otherwise(0)
+    score = F.transform(numbers, lambda i: F.get("evidence", i - 1) + F.coalesce(F.get("_told", i - 1), F.lit(0.0)) + F.log((own(i) + F.get("_suffix", i - 1) * HOST_WEIGHT) / (F.col("_others") + HOST_WEIGHT)))
     rows = rows.withColumn("_score", score).withColumn("_at", _best(F.col("_score")))
     norm = F.aggregate(F.transform("_score", lambda x: F.exp(x - F.array_max("_score"))), F.lit(0.0), lambda a, x: a + x)
     language = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_at"))

@@ -344,6 +344,18 @@ def test_language(spark):
     assert left == {i for i, r in got.items() if r.kept}
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng, rows = random.Random(8), []
+    for k in range(90):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèçñøå") for _ in range(6)) for _ in range(8)]
+        label = f"l{k:02}"
+        forms = [label, label.upper(), f" {label}-XX", label + "_yy"]
+        rows += [(len(rows) + i, " ".join(rng.choices(own, k=60 if k < 80 else 20)), forms[i % 4], "h") for i in range(6 if k < 80 else 2)]
+    got = identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    want = {i: lang.strip().lower()[:3] for i, _, lang, _ in rows}
+    assert len({want[r.doc_id] for r in got}) == 90 and all(r.kept and r.language == want[r.doc_id] for r in got)
+
+
 def test_junk_is_rejected(spark):
     from sylva.llm.op7_langid import fit_trigrams
 
