@@ -144,6 +144,114 @@ def test_classes_beat_the_base_on_held_out_texts(spark):
     assert got.s > 0.9 * got.b
 
 
+def _bigrams(rng, n_words, n_tokens):
+    """Counts of words 0.. and of the symbols of rest classes and the end, which follow them."""
+    import sylva.llm.op2_brown as op
+
+    tokens = np.minimum(rng.geometric(0.08, n_tokens) - 1, n_words + op.REST)
+    tokens[1::5] = tokens[::5]  # some words follow themselves
+    code, n = np.unique(tokens[:-1] * 1000 + tokens[1:], return_counts=True)
+    return code // 1000, code % 1000, n.astype(float)
+
+
+def _class_matrix(a, b, n, classes):
+    import sylva.llm.op2_brown as op
+
+    m = np.zeros((op._TOTAL, op._TOTAL))
+    np.add.at(m, (classes[a], classes[b]), n)
+    return m
+
+
+def test_exchange_settles_where_no_move_helps():
+    import sylva.llm.op2_brown as op
+
+    rng = np.random.default_rng(3)
+    a, b, n = _bigrams(rng, 30, 2000)
+    start = np.concatenate([rng.integers(0, 4, 30), op.CLASSES + np.arange(op.REST + 1)])
+    history = []
+    classes = op.exchange(a, b, n, start, 30, history=history)
+    levels = [op.likelihood(_class_matrix(a, b, n, start)), *[x for _, x, _ in history]]
+    assert all(y >= x - 1e-6 for x, y in zip(levels, levels[1:])) and history[-1][2] == 0
+    assert abs(levels[-1] - op.likelihood(_class_matrix(a, b, n, classes))) < 1e-6
+    for w in range(30):
+        for k in range(op.CLASSES):
+            other = classes.copy()
+            other[w] = k
+            assert op.likelihood(_class_matrix(a, b, n, other)) <= levels[-1] + 1e-4
+
+
+def test_moves_are_the_best_single_moves():
+    import sylva.llm.op2_brown as op
+
+    rng = np.random.default_rng(4)
+    a, b, n = _bigrams(rng, 30, 1500)
+    classes = np.concatenate([rng.integers(0, 5, 20), op.CLASSES + rng.integers(0, op.REST, 10), op.CLASSES + np.arange(op.REST + 1)])
+    matrix = _class_matrix(a, b, n, classes)
+    out, into, own = np.zeros((30, op._TOTAL)), np.zeros((30, op._TOTAL)), np.zeros(30)
+    for x, y, k in zip(a, b, n):
+        if x == y and x < 30:
+            own[x] += k
+            continue
+        if x < 30:
+            out[x, classes[y]] += k
+        if y < 30:
+            into[y, classes[x]] += k
+    found = op.moves(np.arange(30), out, into, own, classes[:30], matrix)
+    for w in range(30):
+        level = []
+        for k in [*range(op.CLASSES), found[w]]:
+            other = classes.copy()
+            other[w] = k
+            level.append(op.likelihood(_class_matrix(a, b, n, other)))
+        assert level[-1] >= max(level) - 1e-4
+
+
+@pytest.mark.parametrize("head", [1 << 18, 60])
+def test_scores_equal_a_plain_model(docs, monkeypatch, head):
+    """The plain model counts classes and words of all training texts from what fit says of the words' classes."""
+    import sylva.llm.op2_brown as op
+
+    monkeypatch.setattr(op, "HEAD", head)
+    monkeypatch.setattr(op, "CORE", 25)
+    rows = op.split(docs).collect()
+    model = op.fit(op.split(docs).filter("not held_out"))
+    stages = [x for s, x, _ in model.history if s == "all"]
+    assert max(stages) == pytest.approx(op.likelihood(model.matrix)) and [k for s, _, k in model.history if s == "core"][-1] == 0
+
+    def hashed(w):
+        return int(op._words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+
+    place, end = {int(h): i for i, h in enumerate(model.head)}, op._TOTAL - 1
+    assert len(place) <= head
+    of, counts = {"\0end": end}, {}
+    for r in rows:
+        for t in _tokens(r.text):
+            if t not in of:
+                h = hashed(t)
+                of[t] = int(model.classes[place[h]]) if h in place else op.CLASSES + h % op.REST
+            if not r.held_out:
+                counts[t] = counts.get(t, 0) + 1
+    matrix, mass = np.zeros((op._TOTAL, op._TOTAL)), np.zeros(op._TOTAL)
+    for r in rows:
+        if not r.held_out:
+            classes = [end, *[of[t] for t in _tokens(r.text)]]
+            np.add.at(matrix, (classes[:-1], classes[1:]), 1)
+    assert (matrix == model.matrix).all()
+    for t, k in counts.items():
+        mass[of[t]] += k + 0.5
+    mass[op.CLASSES : end] += 0.5  # a place for unseen words
+    step = np.log10((matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * op._TOTAL))
+
+    def score(text):
+        total, before = 0.0, end
+        for t in _tokens(text):
+            total += step[before, of[t]] + (0.0 if of[t] == end else log10(counts.get(t, 0) + 0.5) - log10(mass[of[t]]))
+            before = of[t]
+        return round(total, 5)
+
+    assert sorted(round(r.score, 5) for r in op.scored(docs).collect()) == sorted(score(r.text) for r in rows)
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 
