@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import byte_runs, documents, lower_ascii, mixed, prefix_hash, span_hash, word_spans, written
 from .graph import components
 
-#: Bits of an odd sketch, members of a bucket that are compared in one group, members that share a copy of their leader.
-SKETCH_BITS, BLOCK, STAR = 512, 512, 256
+#: Bits of an odd sketch, members of a bucket that are compared in one cell, members that share a copy of their leader, bits of the map of wanted texts.
+SKETCH_BITS, BLOCK, STAR, MAP_BITS = 512, 512, 256, 1 << 24
 _U = np.uint64
 
 
@@ -73,7 +73,7 @@ def most_odd_bits(k: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, fold, n_shingles, node (128 bits that name the set; null if empty), bands, odd."""
+    """doc_id, fold, n_shingles, node (128 bits that name the set; null if empty), bands (one bucket for each), odd."""
     mul, add = _constants(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                         low[full, j] = np.minimum.reduceat(values * mul[j] + add[j], cut)
                     name[full, 0] = np.add.reduceat(mixed(values + _U(0x1234567)), cut)
                     name[full, 1] = np.add.reduceat(mixed(values ^ _U(0x9ABCDEF012345)), cut)
-                key = np.zeros((b - a, bands), _U)
+                key = np.broadcast_to(np.arange(bands, dtype=_U), (b - a, bands)).copy()
                 for j in range(rows):
                     key = mixed(key + low[:, j::rows] + _U(j))
                 odd = odd_sketches(low)
@@ -114,65 +114,138 @@ def _sifted(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.filter(F.expr(" + ".join(f"bit_count(odd_u[{i}] ^ odd_v[{i}])" for i in range(SKETCH_BITS // 64))) <= most).select("u", "v")
 
 
-def _linked_across(rows: list[tuple], sets: list[np.ndarray], most: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between the components of a group's members, enough to join what is linked.
+def _partners(x: int, rows: dict[str, np.ndarray], comp: np.ndarray, most: int, percent: int) -> np.ndarray:
+    """Members of a cell, most alike first, that its leading row x must be held against.
 
-    A pair is met in the first band that it shares, unless its components are joined already, its sketches or
-    sizes rule it out, or both members are of one block in a group of two blocks.
+    A pair is met in the first bands that it shares, unless its components are joined already or its sketches or
+    sizes rule it out. Of two leading rows the smaller one is held against the other.
     """
-    band, i, j = rows[0][1], rows[0][2], rows[0][3]
-    odd, bands = np.array([r[7] for r in rows], np.int64).view(_U), np.array([r[8] for r in rows], np.int64)
-    block, size = np.array([r[4] for r in rows]), np.array([len(x) for x in sets])
-    names: dict[bytes, int] = {}
-    comp = np.array([names.setdefault(r[6], len(names)) for r in rows])
-    out = []
-    for x in range(len(rows) - 1):
-        y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
-        if i != j:
-            y = y[block[y] != block[x]]
-        y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])) & ~(bands[y, :band] == bands[x, :band]).any(1)]
-        bits = _popcount(odd[y], odd[x])
-        for k in y[np.argsort(bits, kind="stable")][: int((bits <= most).sum())]:
-            if comp[k] != comp[x] and similar(sets[x], sets[k], percent):
-                out.append((min(rows[x][5], rows[k][5]), max(rows[x][5], rows[k][5])))
-                comp[comp == comp[k]] = comp[x]
-    return out
+    band, twin, size, bands = rows["band"][x], rows["twin"][x], rows["size"], rows["bands"]
+    y = np.flatnonzero(rows["member"] & (comp != comp[x]) & ~(rows["outer"] & (rows["node"] < rows["node"][x])))
+    y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+    alike = bands[y] == bands[x]
+    y = y[~alike[:, :band].any(1) & ~alike[:, band + 1 : twin].any(1)]
+    bits = _popcount(rows["odd"][y], rows["odd"][x])
+    near = np.flatnonzero(bits <= most)
+    return y[near[np.argsort(bits[near], kind="stable")]]
+
+
+_CELL = ["key", "o", "b", "band", "twin", "leads", "member", "outer", "node", "component", "size", "odd", "bands"]
+_CELL_TYPES = "key long, o int, b int, band int, twin int, leads boolean, member boolean, outer boolean, node binary, component binary, size long, odd array<long>, bands array<long>"
+
+
+def _cells(batches: Iterator[pa.RecordBatch], fold: Callable[[pa.RecordBatch], list]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The cells of sorted rows, each whole, with what fold makes of each row."""
+    held: list[pa.RecordBatch] = []
+    made: list = []
+    for batch in batches:
+        extra = fold(batch)
+        narrow = batch.select(_CELL)
+        key = np.stack([narrow.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for a, b in zip(cut, cut[1:]):
+            if held and [held[-1].column(i)[-1].as_py() for i in range(3)] != key[a].tolist():
+                yield pa.concat_batches(held), made
+                held, made = [], []
+            held.append(narrow.slice(a, b - a))
+            made.extend(extra[a:b])
+    if held:
+        yield pa.concat_batches(held), made
+
+
+def _columns(cell: pa.RecordBatch) -> dict[str, np.ndarray]:
+    n = len(cell)
+    of = lambda name: cell.column(_CELL.index(name))
+    flat = lambda name: np.asarray(of(name).flatten()).reshape(n, -1)
+    out = {x: of(x).to_numpy(zero_copy_only=False) for x in ("band", "twin", "leads", "member", "outer", "size")}
+    return out | {"node": np.array(of("node").to_pylist(), object), "odd": flat("odd").view(_U), "bands": flat("bands")}
+
+
+def _dealt(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of _CELL for groups(key, band, twin, node, component), where several components meet.
+
+    Those of the largest component need no test among themselves. Every other member, an outer one, leads: it is held against all members
+    in cells of about 2 * BLOCK rows, so a group of n members of which k are outer gives n + k * n / BLOCK rows, while k is at most BLOCK.
+    """
+    per = groups.groupBy("key", "component").agg(F.count("*").alias("_n"))
+    per = per.groupBy("key").agg(F.sum("_n").alias("n"), F.max_by("component", F.struct("_n", "component")).alias("major"), F.max("_n").alias("_most"), F.count("*").alias("_k")).filter("_k > 1")
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    rows = groups.join(per.select("key", "major", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("_most")).alias("ob")), "key").withColumn("outer", F.col("component") != F.col("major"))
+    h = F.xxhash64("node")
+    rows = rows.withColumn("b", F.pmod(h, F.col("nb")).cast("int")).withColumn("o", F.pmod(F.shiftrightunsigned(h, 20), F.col("ob")).cast("int"))
+    cell = lambda o, b, leads, member: F.struct(o.cast("int").alias("o"), b.cast("int").alias("b"), leads.alias("leads"), F.lit(member).alias("member"))
+    own = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda i: cell(i, F.col("b"), F.col("outer") & (i == F.col("o")), True))
+    away = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.col("outer") & (i != F.col("b")))
+    placed = rows.withColumn("_at", F.explode(F.concat(own, F.transform(away, lambda i: cell(F.col("o"), i, F.lit(True), False))))).drop("o", "b").select("*", "_at.*")
+    return placed.join(nodes.select("node", F.col("n_shingles").alias("size"), "odd", "bands"), "node").select(*_CELL)
 
 
-def _across(members: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
-    """Links (u, v) within buckets and across components, confirmed where the members meet.
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "o", "b").sortWithinPartitions("key", "o", "b")
 
-    members: bucket, band, node, component, odd, bands, size (rows of the bucket). Large buckets are split into blocks,
-    each two of which meet in a group of their own, so a group holds about 2 * BLOCK texts; only links leave it.
-    """
-    dealt = members.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("bucket", "band", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "component", "odd", "bands")
-    met = dealt.join(texts, "node").select(*dealt.columns, "text")
-    met = met.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j")
+
+def _sifted_cells(cells: DataFrame, most: int, percent: int) -> DataFrame:
+    """The rows of cells that sketches and sizes let have a partner there: only these need their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(rows: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
-            found = _linked_across(rows, sets, most, percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+        for cell, _ in _cells(batches, lambda batch: []):
+            rows = _columns(cell)
+            names = cell.column(_CELL.index("component")).to_pylist()
+            index = {c: i for i, c in enumerate(dict.fromkeys(names))}
+            comp = np.array([index[c] for c in names])
+            keep = np.zeros(len(cell), bool)
+            for x in np.flatnonzero(rows["leads"]):
+                y = _partners(x, rows, comp, most, percent)
+                keep[y] = True
+                keep[x] |= len(y) > 0
+            if keep.any():
+                yield cell.filter(pa.array(keep))
+
+    return _together(cells).mapInArrow(run, _CELL_TYPES)
+
+
+def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
+    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked."""
+    met = _together(cells.join(texts, "node").select(*_CELL, "text"))
 
-        held, sets = [], []
-        for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
-            for a, b, data, bounds in byte_runs(batch.column(len(batch.columns) - 1)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+            out = []
+            for a, b, data, bounds in byte_runs(batch.column(len(_CELL))):
                 values, at = shingle_sets(data, bounds, words)
-                for r in range(a, b):
-                    if held and held[0][:4] != rows[r][:4]:
-                        yield linked(held, sets)
-                        held, sets = [], []
-                    held.append(rows[r])
-                    sets.append(values[at[r - a] : at[r - a + 1]].copy())
-        if held:
-            yield linked(held, sets)
+                out += [values[at[r] : at[r + 1]].copy() for r in range(b - a)]
+            return out
+
+        for cell, sets in _cells(batches, sets_of):
+            rows = _columns(cell)
+            names = cell.column(_CELL.index("component")).to_pylist()
+            index = {c: i for i, c in enumerate(dict.fromkeys(names))}
+            comp = np.array([index[c] for c in names])
+            found = []
+            for x in np.flatnonzero(rows["leads"]):
+                for y in _partners(x, rows, comp, most, percent):
+                    if comp[y] != comp[x] and similar(sets[x], sets[y], percent):
+                        found.append((names[x], names[y]))
+                        comp[comp == comp[y]] = comp[x]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
     return met.mapInArrow(run, "u binary, v binary").distinct()
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the documents that wanted(node, rep) names.
+
+    A map of MAP_BITS bits, which is broadcast, lets most other texts go in the scan, before any shuffle; which ones it lets
+    through by chance the join drops.
+    """
+    spot = lambda doc, fold: F.pmod(F.xxhash64(doc, fold), F.lit(MAP_BITS))
+    wanted = wanted.select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep.fold").alias("_fold"))
+    marks = wanted.select(spot("_doc", "_fold").alias("x")).groupBy(F.expr("x div 64").alias("_cell")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 64 as int)))").alias("_bits"))
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fold")).withColumn("x", spot("doc_id", "fold")).withColumn("_cell", F.expr("x div 64"))
+    some = keyed.join(F.broadcast(marks), "_cell").filter(F.expr("getbit(_bits, cast(x % 64 as int)) = 1"))  # at most MAP_BITS / 64 rows
+    return written(some.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fold") == F.col("_fold"))).select("node", "text"), "texts")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets, not empty, have 100 * intersection >= percent * union."""
     small, large = (a, b) if len(a) < len(b) else (b, a)
@@ -186,10 +259,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union.
 
-    texts: node, text. Each leader u meets its members sorted behind it and only its own set is held;
+    pairs: distinct. texts: node, text. Each leader u meets its members sorted behind it and only its own set is held;
     a leader of many members is copied once for every STAR of them.
     """
-    pairs = written(pairs.distinct(), "pairs")
     stars = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("n"))
     members = pairs.join(stars, "u").select("u", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("v").alias("node"))
     leaders = stars.select("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("u").alias("node"))
@@ -215,14 +287,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return met.mapInArrow(run, "u binary, v binary").distinct()
 
 
+def _groups(buckets: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, band, twin, node, component: where members of several components meet.
+
+    A bucket of more than BLOCK members is split by a second band that members share, a later one: two similar sets share many bands, and
+    that these are just one has a probability below 1e-7 at similarity 0.8 and 24 bands of 3 rows.
+    """
+    placed = buckets.join(comp, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket", "_n")
+    open_ = written(placed.join(several, "bucket"), "open")
+    cool = open_.filter(F.col("_n") <= BLOCK).select(F.col("bucket").alias("key"), "band", F.col("band").alias("twin"), "node", "component")
+    hot = open_.filter(F.col("_n") > BLOCK).join(nodes.select("node", F.posexplode("bands").alias("twin", "_other")), "node").filter("twin > band")
+    return cool.unionByName(hot.select(F.xxhash64("bucket", "twin", "_other").alias("key"), "band", "twin", "node", "component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of percent or more.
 
     Returns doc_id, fold (hash of the text), n_shingles, component_id (the smallest doc_id reachable) and kept.
-    Rows with one set are one node. In every bucket of one band the smallest node leads; pairs with the
-    leader that odd sketches don't rule out are confirmed on full sets and joined to components. Then, in
-    buckets that still hold several components, all pairs across components are sifted by sketches and
-    confirmed where they meet, and only links leave the group: no bucket or partner is capped. At 24 bands of 3 rows a pair of similarity 0.8 shares no
+    Rows with one set are one node. In every bucket of one band the smallest node leads; each node is held against the least of its
+    leaders that odd sketches don't rule out, on full sets, and joined to components. Then, in
+    buckets where several components meet, pairs across components are sifted by sketches, and those left are confirmed on
+    full sets where they meet; only links leave a cell: no bucket or partner is capped. At 24 bands of 3 rows a pair of similarity 0.8 shares no
     bucket, or is ruled out, with probability below 1e-7.
 
     Null or empty text and text without words have an empty set and are linked with nothing. Null doc_ids take
@@ -230,28 +316,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     document for component_id; repeated rows get equal results. Other columns are ignored.
     """
     sign = written(signatures(docs, words, bands, rows), "signatures")
-    nodes = sign.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fold")).alias("rep"), F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("odd").alias("odd"))
+    nodes = sign.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "fold")).alias("rep"), F.min("doc_id").alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("odd").alias("odd"))
     nodes = written(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("bucket", "band").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = written(banded.join(shared, ["bucket", "band"]), "buckets")
-    buckets = buckets.join(buckets.groupBy("bucket", "band").agg(F.min("node").alias("leader")), ["bucket", "band"])
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("_n")).filter("_n > 1").select("bucket", "leader")
+    buckets = written(banded.join(shared, "bucket"), "buckets")
     most = most_odd_bits(bands * rows, percent)
-    stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     of = lambda name: nodes.select(F.col("node").alias(name), F.col("odd").alias(f"odd_{name}"))
-    stars = stars.join(of("u"), "u").join(of("v"), "v")
-    stars = _sifted(stars, most)
-    shared = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep.fold").alias("_fold"))
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fold"))
-    texts = written(keyed.join(shared, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("fold") == F.col("_fold"))).select("node", "text"), "texts")
+    stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    stars = _sifted(stars.join(of("v"), "v").join(of("u"), "u"), most).groupBy("v").agg(F.min("u").alias("u"))
+    stars = written(stars, "stars")
+    ends = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
+    texts = _texts(docs, nodes.select("node", "rep").join(ends, "node"))
     edges = written(confirmed(stars, texts, words, percent), "edges")
     comp = written(components(edges), "components")
-    several = buckets.filter("size > 2 and node <> leader").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = several.groupBy("bucket", "band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket", "band")
-    members = several.join(open_, ["bucket", "band"]).join(nodes.select("node", "odd", "bands"), "node")
-    across = written(_across(members, texts, words, most, percent), "across")
-    if not across.isEmpty():
-        comp = written(components(edges.unionByName(across)), "components")
+    cells = written(_sifted_cells(_dealt(written(_groups(buckets, nodes, comp), "groups"), nodes), most, percent), "cells")
+    if not cells.isEmpty():
+        more = cells.select("node").distinct().join(texts.select("node"), "node", "left_anti")
+        texts = texts.unionByName(_texts(docs, nodes.select("node", "rep").join(more, "node")))
+        joined = written(components(_linked(cells, texts, words, most, percent)), "joined").select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+        comp = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        comp = comp.join(joined, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
     named = nodes.select("node", "least").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
