@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, written
 
 
+#: Workers whose leftovers meet in one worker of the next level.
+FAN = 1024
+
+
 class Encoder:
     """Encodes texts by the vocabulary of a byte-level BPE file of the tokenizers library.
 
@@ -169,9 +173,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, classes: int = 1
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece.
     Each class's pieces are dealt to workers of about worker_rows pieces; a worker fills bins of exactly k
     pieces by counting, with no word to the others. Pieces that fill no bin (fewer than k for each worker and
-    class) are counted again over all workers of the class; the last of these (fewer than k for each class,
-    whatever the input's size) and the pieces too short for a class, dealt in groups of about
-    worker_rows, are packed by best fit.
+    class) are counted again by the next level's workers, each of which takes over from FAN, until a class has one. The
+    last of these (fewer than k for each class, whatever the input's size) join the first group of the pieces too short for a
+    class; these are dealt in groups of about worker_rows and packed by best fit.
 
     Null text is empty and has the end id alone; a null doc_id is kept; repeated rows are packed each for
     itself; a text of any length is cut into whole sequences and one remainder; an empty table gives
@@ -191,21 +195,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, classes: int = 1
         within = Window.partitionBy("klass", "worker", "bin").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         return out.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0))).withColumn("kind", F.lit(kind))
 
-    workers = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, -(-n // worker_rows))] or [F.lit(0), F.lit(1)]), F.col("klass")), F.lit(1))
-    dealt = pieces.filter("klass > 0").withColumn("worker", F.pmod("salt", workers).cast("long"))
-    first = written(counted(dealt, 0), "bins")
-    again = first.filter("not full").select(*keep, "klass").withColumn("worker", F.lit(0).cast("long"))
-    second = written(counted(again, 1), "bins")
-    rest = second.filter("not full").select(*keep, F.lit(2).alias("kind"), F.lit(0).cast("long").alias("worker"))
-    if counts.get(0, 0) > worker_rows:  # else they fill the bins that the rest leaves open
-        short = pieces.filter("klass = 0").select(*keep, F.lit(3).alias("kind"), F.pmod("salt", F.lit(-(-counts[0] // worker_rows))).cast("long").alias("worker"))
-    else:
-        short = pieces.filter("klass = 0").select(*keep, F.lit(2).alias("kind"), F.lit(0).cast("long").alias("worker"))
-    last = rest.unionByName(short).groupBy("kind", "worker").applyInPandas(_first_fit(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long, kind int, worker long, bin long, offset long")
+    of_class = lambda n: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, c in sorted({0: 0, **counts}.items()) for x in (k, max(1, -(-c // n)))]), F.col("klass")), F.lit(1))
+    left = pieces.filter("klass > 0").withColumn("worker", F.pmod("salt", of_class(worker_rows)).cast("long"))
     columns = [*keep, "kind", "klass", "worker", "bin", "offset"]
-    out = first.filter("full").select(columns)
-    for df in (second.filter("full"), last.withColumn("klass", F.lit(0))):
-        out = out.unionByName(df.select(columns))
+    parts, most, kind = [], max([1, *(-(-n // worker_rows) for k, n in counts.items() if k)]), 0
+    while True:
+        level = written(counted(left, kind), "bins")
+        parts.append(level.filter("full").select(columns))
+        left = level.filter("not full").select(*keep, "klass", F.expr(f"worker div {FAN}").alias("worker"))
+        kind += 1
+        if most == 1:
+            break
+        most = -(-most // FAN)
+    rest = left.select(*keep, F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("worker"))
+    short = pieces.filter("klass = 0").select(*keep, F.lit(kind).alias("kind"), F.pmod("salt", of_class(worker_rows)).cast("long").alias("worker"))
+    last = rest.unionByName(short).groupBy("kind", "worker").applyInPandas(_first_fit(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long, kind int, worker long, bin long, offset long")
+    out = last.withColumn("klass", F.lit(0)).select(columns)
+    for df in parts:
+        out = out.unionByName(df)
     # Seven bits of kind and class, 24 of worker, 32 of bin: distinct by construction.
     number = F.shiftleft((F.col("kind") * (classes + 1) + F.col("klass")).cast("long"), 56) + F.shiftleft(F.col("worker"), 32) + F.col("bin")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", number.alias("sequence_id"), "offset")
