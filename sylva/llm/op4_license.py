@@ -97,8 +97,55 @@ FAMILIES = (
 )
 
 
+#: Words of a name that a license's text leaves open.
+SOMEONE = "(?: [^ ]+ ){1,10}"
+
+#: Passages of the licenses' own texts and of the notices that they ask for: label, keyword, words, with ... for an open name.
+PASSAGES = (
+    ("apache-2.0", "compliance", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "january", "apache license version 2 0 january 2004"),
+    ("apache", "agreed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("mpl-2.0", "form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "contents", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cddl", "contents", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("bsl-1.0", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "damages", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("isc", "disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd-3-clause", "endorse", "neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "warranties", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("cc0", "waived", "to the extent possible under law ... has waived all copyright and related or neighboring rights"),
+    ("cc0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("gpl-2.0", "june", "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "june", "gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "february", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", "june", "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0", "november", "gnu affero general public license version 3 19 november 2007"),
+    ("gfdl", "copyleft", "this license is a kind of copyleft which means that derivative works of the document must themselves be free in the same sense"),
+    ("artistic", "artistic", "the artistic license preamble the intent of this document is to state the conditions under which a package may be copied"),
+    ("ncsa", "contributors", "neither the names of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("openssl", "toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "php", "this product includes php software freely available from"),
+    ("ecl-2.0", "educational", "licensed under the educational community license version 2 0"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "confidential", "this software is the confidential and proprietary information of"),
+)
+
+#: Licenses of one publisher that share a notice: label, keyword, name, versions.
+PUBLISHED = (("gpl", "foundation", "gnu general public license", ("2", "3")), ("lgpl", "lesser", "gnu lesser general public license", ("2.1", "3")), ("lgpl", "library", "gnu library general public license", ("2",)), ("agpl", "affero", "gnu affero general public license", ("3",)))
+
+
 def rules() -> list[Rule]:
-    """The rules in order: base phrases first, then each family's names, versions, notices and tags."""
+    """The rules in order: base phrases first, then each family's names, versions, notices and tags, then passages of license texts."""
     out = [Rule(label, phrase.split()[0], tokens(phrase), BASE) for phrase, label in PHRASES]
     notice = tokens("(?:licensed|released|distributed|available)") + tokens("under") + "(?:" + tokens("the") + "|" + tokens("a") + "|)(?:" + tokens("terms") + tokens("of") + "(?:" + tokens("the") + "|)|)"
     tag = tokens("spdx license identifier")
@@ -140,12 +187,23 @@ def rules() -> list[Rule]:
         Rule("isc", "permission", tokens("permission to use copy modify and or distribute this software for any purpose"), VERSION),
         Rule("proprietary", "rights", tokens("all rights reserved"), NAME),
     ]
+    for label, keyword, words in PASSAGES:
+        before, _, after = words.partition(" ... ")
+        out.append(Rule(label, keyword, tokens(before) + (SOMEONE + tokens(after) if after else ""), VERSION))
+    for label, keyword, name, versions in PUBLISHED:
+        notice = tokens(f"redistribute it and or modify it under the terms of the {name} as published by the free software foundation")
+        out.append(Rule(label, keyword, notice, NAME))
+        for v in versions:
+            exact = notice + "(?: either )?" + tokens("version " + v.replace(".", " ")) + "(?:" + tokens("of the license") + ")?"
+            full = f"{label}-{v if '.' in v else v + '.0'}"
+            out.append(Rule(full, keyword, exact, VERSION))
+            out.append(Rule(f"{full}-or-later", keyword, exact + later, VERSION))
     return out
 
 
 RULES = rules()
 #: A text with none of these has no keyword's rules to run; each keyword's rules hold one of them.
-GATES = ("licen", "gpl", "cc", "apache", "mozilla", "mpl", "eupl", "cecill", "bsd", "commons", "domain", "permission", "redistribution", "rights", "spdx", "wtfpl", "released", "distributed", "available")
+GATES = ("licen", "gpl", "cc", "apache", "mozilla", "mpl", "eupl", "cecill", "bsd", "commons", "domain", "permission", "redistribution", "rights", "spdx", "wtfpl", "released", "distributed", "available", "provided", "liable", "origin", "copyright", "advertising", "neither", "unauthorized", "proprietary", "foundation", "product", "intent")
 
 
 def gate_word(rule: Rule) -> str:
@@ -221,21 +279,17 @@ def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL: every rule whose keyword a text has, then windows.
-
-    For tags this gate is narrower than license_scan's: a text with a tag and without its family's keyword differs.
-    """
+    """The same in DuckDB's SQL: every rule on every text, without gates, then windows."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({i}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(r.pattern)}, {r.priority})" for i, r in enumerate(RULES))
+    values = ", ".join(f"({i}, {quoted(r.label)}, {quoted(r.pattern)}, {r.priority})" for i, r in enumerate(RULES))
     spaces = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
     reach = " ".join(f"when {p} then max(case when priority >= {p} then stop end) over ahead" for p in range(TAG + 1))
-    gates = " or ".join(f"contains(lower(text), '{g}')" for g in GATES)
     return rf"""
-with rules(rule, label, keyword, pattern, priority) as (values {values}),
+with rules(rule, label, pattern, priority) as (values {values}),
 texts as (select distinct coalesce(text, '') as text from documents),
-marked as (select text, norm[2:length(norm) - 1] as norm from (select text, regexp_replace('-' || translate(text, '{UPPER}', '{LOWER}') || '-', '{BETWEEN}', '  ', 'g') as norm from texts where {gates})),
+marked as (select text, norm[2:length(norm) - 1] as norm from (select text, regexp_replace('-' || translate(text, '{UPPER}', '{LOWER}') || '-', '{BETWEEN}', '  ', 'g') as norm from texts)),
 hits as (select text, rule, label, priority, list_transform(string_split_regex(norm, pattern), lambda x: {spaces("x")}) as gaps, list_transform(regexp_extract_all(norm, pattern, 0), lambda x: {spaces("x")}) as lens
-  from marked join rules on contains(norm, ' ' || keyword || ' ') where regexp_matches(norm, pattern)),
+  from marked, rules where regexp_matches(norm, pattern)),
 places as (select text, rule, label, priority, unnest(range(1, len(lens) + 1)) as no, gaps, lens from hits),
 found as (select text, rule, label, priority, gap_sum + len_sum - len as start, gap_sum + len_sum as stop from (
   select text, rule, label, priority, lens[no] as len, sum(gaps[no]) over w as gap_sum, sum(lens[no]) over w as len_sum from places window w as (partition by text, rule order by no))),
