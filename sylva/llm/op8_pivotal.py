@@ -100,14 +100,16 @@ def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("fold"))
-    base = written(base, "sizes")
-    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    base = written(base.groupBy("doc_id", "source", "size", "fold").agg(F.count("*").alias("_copies")), "sizes")
+    per = base.groupBy("source").agg(F.sum(F.col("size") * F.col("_copies")).alias("source_size"), F.sum("_copies").alias("source_rows"))
     targets = written(source_targets(per, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = targets.withColumn("_rate", rate).withColumn("_groups", F.ceil(F.col("source_rows") / GROUP)).withColumnRenamed("source", "_s")
     rows = base.join(rated, F.col("source").eqNullSafe(F.col("_s")))
-    # Copies of one text share doc_id and fold only if the rows are equal; these may share a group.
-    state = rows.select("doc_id", "source", "size", "fold", F.floor("_rate").cast("int").alias("whole"), (F.col("_rate") - F.floor("_rate")).alias("p"), F.pmod("fold", "_groups").alias("grp"), (F.col("_groups") <= 1).alias("top"))
+    # Equal rows share doc_id and fold; numbers among them spread these over groups too.
+    rows = rows.withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    grp = F.pmod(F.when(F.col("_no") > 1, F.xxhash64("fold", "_no")).otherwise(F.col("fold")), F.col("_groups"))
+    state = rows.select("doc_id", "source", "size", "fold", F.floor("_rate").cast("int").alias("whole"), (F.col("_rate") - F.floor("_rate")).alias("p"), grp.alias("grp"), (F.col("_groups") <= 1).alias("top"))
     done = []
     groups = int(rated.agg(F.max("_groups")).first()[0] or 1)
     for level in range(1 + max(0, math.ceil(math.log(max(groups, 1), FAN) - 1e-9))):
