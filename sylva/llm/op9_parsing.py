@@ -150,13 +150,14 @@ def parsed(docs: DataFrame) -> DataFrame:
 
     Texts are dealt once, by ranges of doc_id, and each task reads its range in order with one text held
     back; what lies across two ranges (one text each) is compared in a second, small step. Null text is empty;
-    null doc_ids come last; rows that share a doc_id stand in the order of their texts; a document alone
+    null doc_ids come last; rows that share a doc_id stand in the order of their texts' hashes, and only equal rows
+    are never dealt to several tasks; a document alone
     is its own next; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    dealt = rows.repartitionByRange(partitions(spark), order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
