@@ -314,11 +314,18 @@ def access_units(media: DataFrame, key: str = "doc_id", column: str = "media") -
     return media.select(F.col(key).alias("key"), F.col(column)).mapInArrow(run, schema)
 
 
+def _levels(payload: bytes) -> str:
+    x = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+    n, v = len(payload), np.arange(256)
+    mean = int((x * v).sum()) / n
+    return f"mean={round(100 * mean)};deviation={round(100 * float(np.sqrt(max(0.0, int((x * v * v).sum()) / n - mean * mean))))}"
+
+
 def media_features(docs: DataFrame) -> DataFrame:
     """Stores each text as a transport stream, reads the stored bytes back, and describes both.
 
     feature is packets, programs, elementary packets, random-access points, gaps, repeated packets, first and
-    last timestamp of the stream read back. Null text is empty, and an empty payload is 64 zero bytes;
+    last timestamp of the stream read back, and the mean and standard deviation of its payload's bytes, in hundredths. Null text is empty, and an empty payload is 64 zero bytes;
     long texts become many elementary packets; repeated rows give equal rows; an empty table gives no
     rows. Each row is computed where it is read; other columns are ignored.
     """
@@ -332,7 +339,7 @@ def media_features(docs: DataFrame) -> DataFrame:
                 found = demux(media)
                 back = b"".join(u.data for u in found.units)
                 stamps, marks = [u.pts for u in found.units], [u.random_access for u in found.units]
-                feature = f"packets={found.packets};programs={len(found.programs)};units={len(found.units)};access={sum(marks)};gaps={found.gaps};repeats={found.repeats};pts={stamps[0]}-{stamps[-1]}"
+                feature = f"packets={found.packets};programs={len(found.programs)};units={len(found.units)};access={sum(marks)};gaps={found.gaps};repeats={found.repeats};pts={stamps[0]}-{stamps[-1]};{_levels(back)}"
                 out.append((doc.as_py(), n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, stamps, marks))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"]
