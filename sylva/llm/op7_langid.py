@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +72,10 @@ def fit_trigrams(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = labelled.select("text", label).filter("label <> '' and text is not null")
     counts = written(rows.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     languages = sorted(r["label"] for r in counts.select("label").distinct().collect())
-    place = {x: i for i, x in enumerate(languages)}
     table = np.full((len(languages), BUCKETS), 0.5)
-    for r in counts.toLocalIterator():
-        table[place[r["label"]], r["bucket"]] += r["n"]
+    found = counts.toArrow()
+    of = pc.index_in(found.column("label"), pa.array(languages, pa.string())).to_numpy()
+    table[of, found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     table /= table.sum(1, keepdims=True)
     return languages, np.log(table, out=table)
 
