@@ -307,6 +307,8 @@ def _example(pattern):
                 out += chr(x)
             elif kind == "IN":
                 out += chr(x[0][1])
+            elif kind == "NOT_LITERAL":
+                out += "x"
             elif kind == "BRANCH":
                 out += made(x[1][0])
             elif kind == "SUBPATTERN":
@@ -337,11 +339,15 @@ def test_cuts():
         assert sum(p for p, _ in pieces) == n and all(p * k <= 2048 for p, k in pieces)
 
 
-def test_packing(docs):
+@pytest.mark.parametrize(("worker_rows", "fan"), [(100_000, 1024), (5, 2)])
+def test_packing(docs, monkeypatch, worker_rows, fan):
     from tokenizers import Tokenizer
 
+    import sylva.llm.op5_harmonic as op
+
+    monkeypatch.setattr(op, "FAN", fan)
     own = Tokenizer.from_file(default_tokenizer())
-    got = pack(docs, default_tokenizer()).collect()
+    got = pack(docs, default_tokenizer(), worker_rows=worker_rows).collect()
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -354,9 +360,23 @@ def test_packing(docs):
         want.append((r.doc_id, len(ids), zlib.crc32(ids.tobytes())))
     firsts = sorted(((r.doc_id, r.doc_tokens) for r in got if r.start == 0), key=str)
     assert firsts == sorted(((d, n) for d, n, _ in want), key=str)
-    whole = {(d, n, c) for d, n, c in want}
-    assert all((r.doc_id, r.doc_tokens, r.ids_crc32) in whole for r in got if r.length == r.doc_tokens)
     assert sum(r.length for r in got) == sum(n for _, n, _ in want)
+    # Pieces follow each other without gaps and have the checksums of their own ids, also where a document is cut.
+    pieces = []
+    for r in docs.collect():
+        ids = np.array([*own.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        at = 0
+        for n, _ in cuts(len(ids) // 4, 2048, 16, 64):
+            pieces.append((r.doc_id, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), len(ids) // 4))
+            at += n
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got), key=str) == sorted(pieces, key=str)
+
+
+def test_sequences_are_nearly_full(spark):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, words(rng, int(rng.paretovariate(0.7) * 20) % 1500)) for i in range(600)], "doc_id long, text string").repartition(4)
+    got = pack(rows, default_tokenizer(), worker_rows=2000).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n").alias("ids"), F.count("*").alias("k")).first()
+    assert got.ids / (2048 * got.k) > 0.97
 
 
 def test_encoder_equals_the_tokenizer():
