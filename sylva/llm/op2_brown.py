@@ -15,8 +15,8 @@ from .common import byte_runs, documents, lower_ascii, partitions, prefix_hash,
 #: Frequent words that exchange assigns to classes and whose counts are broadcast, the most frequent of these, which the
 #: driver exchanges one by one, classes, and classes by spelling of all other words.
 HEAD, CORE, CLASSES, REST = 1 << 18, 1024, 64, 32
-#: Passes over the core at most, rounds over the other frequent words, words of one bucket, and counts that a task holds.
-PASSES, ROUNDS, BUCKET, HELD = 40, 2, 2048, 1 << 21
+#: Passes over the core at most, rounds over the other frequent words, words of one bucket, counts that a task holds, and tasks whose counts meet in one.
+PASSES, ROUNDS, BUCKET, HELD, FAN = 40, 2, 2048, 1 << 21, 16
 _TOTAL = CLASSES + REST + 1  # the last class is the end token's
 _SIDES = 2 * _TOTAL + 1  # classes after a word, classes before it, and the word after itself
 _U = np.uint64
@@ -121,17 +121,21 @@ def _encoded(train: DataFrame, head: np.ndarray) -> DataFrame:
 def _counted(symbols: DataFrame, codes: Callable[[np.ndarray], list[np.ndarray]], width: int) -> DataFrame:
     """bucket, code, n: counts of the codes that each run of symbols gives, as two packed arrays for each bucket of width codes.
 
-    Tasks sum before the shuffle and hold about HELD counts; a bucket's counts, width at most, meet in one task.
+    Tasks sum before the shuffle and hold about HELD counts. What FAN tasks have of a bucket, width counts each at most, meets in one task, and
+    so on until a bucket is one row: no task reads more on a larger input.
     """
 
-    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
         code, n = _summed(parts)
         bucket = code // width
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(code) else []
         for a, b in zip(first, np.append(first[1:], len(code)) if len(code) else []):
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([code[a:b].astype("<i4").tobytes()], pa.binary()), pa.array([n[a:b].astype("<i8").tobytes()], pa.binary())], names=["bucket", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([part], pa.int32()), pa.array([code[a:b].astype("<i4").tobytes()], pa.binary()), pa.array([n[a:b].astype("<i8").tobytes()], pa.binary())], names=["bucket", "part", "code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for run in batch.column(0):
@@ -140,28 +144,34 @@ def _counted(symbols: DataFrame, codes: Callable[[np.ndarray], list[np.ndarray]]
                 if sum(len(x) for x, _ in held) > HELD:
                     held = [_summed(held)]
                     if len(held[0][0]) > HELD // 2:
-                        yield from packed(held)
+                        yield from packed(held, part)
                         held = []
         if held:
-            yield from packed(held)
+            yield from packed(held, part)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         last = None
         for batch in batches:
-            for bucket, code, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if bucket != last and held:
-                    yield from packed(held)
+            for bucket, part, code, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if last != (bucket, part) and held:
+                    yield from packed(held, last[1])
                     held = []
-                last = bucket
+                last = bucket, part
                 held.append((np.frombuffer(code.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i8")))
                 if sum(len(x) for x, _ in held) > HELD:
                     held = [_summed(held)]
         if held:
-            yield from packed(held)
-
-    kind = "bucket int, code binary, n binary"
-    return symbols.mapInArrow(count, kind).repartition(partitions(symbols.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(add, kind)
+            yield from packed(held, last[1])
+
+    kind = "bucket int, part int, code binary, n binary"
+    out, parts = symbols.mapInArrow(count, kind), symbols.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // FAN)
+        out = out.withColumn("part", F.expr(f"cast(part div {FAN} as int)")).repartition(partitions(symbols.sparkSession), "bucket", "part")
+        out = out.sortWithinPartitions("bucket", "part").mapInArrow(add, kind)
+        if parts <= 1:
+            return out.drop("part")
 
 
 def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
