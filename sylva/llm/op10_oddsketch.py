@@ -161,16 +161,21 @@ def _columns(cell: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out | {"node": np.array(of("node").to_pylist(), object), "odd": flat("odd").view(_U), "bands": flat("bands")}
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """rows(key, component, ...) of keys where several components meet, with n, the key's rows, and its largest component, major, of `most` rows."""
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("_n")).groupBy("key")
+    per = per.agg(F.sum("_n").alias("n"), F.max_by("component", F.struct("_n", "component")).alias("major"), F.max("_n").alias("most"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
+    return rows.join(per, "key")
+
+
 def _dealt(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of _CELL for groups(key, band, twin, node, component), where several components meet.
+    """Rows of _CELL for groups(key, band, twin, node, component, n, major, most).
 
     Those of the largest component need no test among themselves. Every other member, an outer one, leads: it is held against all members
     in cells of about 2 * BLOCK rows, so a group of n members of which k are outer gives n + k * n / BLOCK rows, while k is at most BLOCK.
     """
-    per = groups.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    per = per.groupBy("key").agg(F.sum("_n").alias("n"), F.max_by("component", F.struct("_n", "component")).alias("major"), F.max("_n").alias("_most"), F.count("*").alias("_k")).filter("_k > 1")
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    rows = groups.join(per.select("key", "major", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("_most")).alias("ob")), "key").withColumn("outer", F.col("component") != F.col("major"))
+    rows = groups.select("key", "band", "twin", "node", "component", (F.col("component") != F.col("major")).alias("outer"), blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most")).alias("ob"))
     h = F.xxhash64("node")
     rows = rows.withColumn("b", F.pmod(h, F.col("nb")).cast("int")).withColumn("o", F.pmod(F.shiftrightunsigned(h, 20), F.col("ob")).cast("int"))
     cell = lambda o, b, leads, member: F.struct(o.cast("int").alias("o"), b.cast("int").alias("b"), leads.alias("leads"), F.lit(member).alias("member"))
@@ -288,17 +293,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def _groups(buckets: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """key, band, twin, node, component: where members of several components meet.
+    """What _dealt takes: buckets in which members of several components meet.
 
-    A bucket of more than BLOCK members is split by a second band that members share, a later one: two similar sets share many bands, and
+    A bucket of more than BLOCK outer members is split by a second band that members share, a later one: two similar sets share many bands, and
     that these are just one has a probability below 1e-7 at similarity 0.8 and 24 bands of 3 rows.
     """
-    placed = buckets.join(comp, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
-    several = placed.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("bucket", "_n")
-    open_ = written(placed.join(several, "bucket"), "open")
-    cool = open_.filter(F.col("_n") <= BLOCK).select(F.col("bucket").alias("key"), "band", F.col("band").alias("twin"), "node", "component")
-    hot = open_.filter(F.col("_n") > BLOCK).join(nodes.select("node", F.posexplode("bands").alias("twin", "_other")), "node").filter("twin > band")
-    return cool.unionByName(hot.select(F.xxhash64("bucket", "twin", "_other").alias("key"), "band", "twin", "node", "component"))
+    placed = buckets.join(comp, "node", "left").select(F.col("bucket").alias("key"), "band", F.col("band").alias("twin"), "node", F.coalesce("component", "node").alias("component"))
+    open_ = written(_several(placed), "open")
+    wide = F.col("n") - F.col("most") > BLOCK
+    hot = open_.filter(wide).select("key", "band", "node", "component").join(nodes.select("node", F.posexplode("bands").alias("twin", "_other")), "node").filter("twin > band")
+    hot = _several(hot.select(F.xxhash64("key", "twin", "_other").alias("key"), "band", "twin", "node", "component"))
+    return open_.filter(~wide).unionByName(hot)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3) -> DataFrame:
