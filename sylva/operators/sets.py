@@ -1,4 +1,8 @@
-"""Unions of durable and temporary rows, presence tests, and the checks on rows that arrive from elsewhere."""
+"""Unions of durable and temporary rows, presence tests, and the checks on rows that arrive from elsewhere.
+
+Null keys match nothing, except where rows are grouped by them. Empty tables leave what the other side has. Columns that are added (temp, available, total) replace those of
+their name.
+"""
 
 from __future__ import annotations
 

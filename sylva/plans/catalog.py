@@ -73,17 +73,34 @@ _PATHS_SQL = "up as (select node, string_agg(label, '/' order by distance desc)
 
 @query(with_sql(NODES_SQL, LINKS_SQL, CONTAINS_SQL, _CLOSURE_SQL, _PATHS_SQL, recursive=True) + "select id, path from paths")
 def node_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.paths(V.nodes(spark, d), _closure(spark, d))
+    return graph.paths(V.nodes(spark, d), V.contains(spark, d))
 
 
-_LOOKUP = "root/AFRICA/NATION_0"
+_LOOKUPS_SQL = """lookups as (select '/' || r_name || '/' || n_name as path from nation join region on r_regionkey = n_regionkey
+ union all select r_name || '/' || n_name || '/' || c_name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey
+ union all select 'parts/' || p_name from part where p_size < 5 union all select n_name from nation union all select '' from region)"""
 
 
-@query(with_sql(NODES_SQL, LINKS_SQL, CONTAINS_SQL, _CLOSURE_SQL, _PATHS_SQL, recursive=True) + f"select path, min(id) as id, count(*) as n from paths where starts_with(path, '{_LOOKUP}') group by path")
+@query(
+    with_sql(
+        NODES_SQL, LINKS_SQL, _LIVE_SQL, _LOOKUPS_SQL,
+        "split as (select distinct path, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from lookups)",
+        "best as (select parent_id, label, arg_min(child_id, (link_type <> 'contains', order_key, child_id)) as child from live join nodes on nodes.id = child_id group by all)",
+        "steps as (select path, parts, 0 as n, 'root' as id from split union all select path, parts, n + 1, child from steps join best on parent_id = id and label = parts[n + 1])",
+        recursive=True,
+    )
+    + "select split.path, id from split left join steps on steps.path = split.path and n = len(split.parts)"
+)
 def path_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes at and under a path, by path (GR-06)."""
-    found = graph.paths(V.nodes(spark, d), _closure(spark, d)).filter(F.col("path").startswith(_LOOKUP))
-    return found.groupBy("path").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    """The nodes that paths of labels lead to, by segments (GR-06); some lead nowhere."""
+    region = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    nation = table(spark, d, "nation").join(region, "n_regionkey")
+    customer = table(spark, d, "customer").join(nation.withColumn("c_nationkey", F.col("n_nationkey")), "c_nationkey")
+    part = table(spark, d, "part").filter("p_size < 5")
+    lookups = nation.select(F.concat(F.lit("/"), F.concat_ws("/", "r_name", "n_name")).alias("path"))
+    for more in (customer.select(F.concat_ws("/", "r_name", "n_name", "c_name")), part.select(F.concat(F.lit("parts/"), "p_name")), nation.select("n_name"), region.select(F.lit(""))):
+        lookups = lookups.union(more)
+    return graph.resolved(lookups, V.nodes(spark, d), V.links(spark, d), "root")
 
 
 @query(with_sql(NODES_SQL, LINKS_SQL) + "select id, node_type, label from nodes where id not in (select child_id from links where not removed)")
@@ -91,22 +108,16 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return graph.orphans(V.nodes(spark, d), V.links(spark, d))
 
 
-@query("select 'c' || c_custkey as id, c_name as label from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'O') and c_acctbal < 5000")
-def orphans_open_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Customers of low balance without an open order (JN-09)."""
-    open_ = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    found = table(spark, d, "customer").filter("c_acctbal < 5000").join(open_, "c_custkey", "left_anti")
-    return found.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("label"))
-
-
 @query(
     with_sql(LINKS_SQL, CONTAINS_SQL, _CLOSURE_SQL, recursive=True)
-    + "select child, new_parent, coalesce(distance, 0) as distance from (select 'n' || c_nationkey as child, 'c' || c_custkey as new_parent from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders union all select 's' || s_suppkey, 'n' || s_nationkey from supplier) m left join closure on node = new_parent and ancestor = child where child = new_parent or distance is not null"
+    + "select child, new_parent, coalesce(distance, 0) as distance, case when distance = 1 then [new_parent, child] else (select list_prepend(new_parent, list(c.ancestor order by c.distance)) from closure c where c.node = new_parent and c.distance <= closure.distance) end as path from (select distinct 'n' || c_nationkey as child, 'c' || c_custkey as new_parent from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders union all select 'r' || n_regionkey, 'c' || c_custkey from customer join nation on n_nationkey = c_nationkey union all select 's' || s_suppkey, 'n' || s_nationkey from supplier) m left join closure on node = new_parent and ancestor = child where child = new_parent or distance is not null"
 )
 def cycle_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed moves under one's own descendants: nations into customers, customers into orders, suppliers into nations (GR-08)."""
+    """Proposed moves under one's own descendants: nations and regions into customers, customers into orders, suppliers into nations (GR-08)."""
     pair = lambda name, a, ka, b, kb: table(spark, d, name).select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("child"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("new_parent"))
     moves = pair("customer", "n", "c_nationkey", "c", "c_custkey").unionByName(pair("orders", "c", "o_custkey", "o", "o_orderkey")).unionByName(pair("supplier", "s", "s_suppkey", "n", "s_nationkey"))
+    far = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    moves = moves.unionByName(far.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("child"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("new_parent")))
     return graph.would_cycle(moves, _closure(spark, d))
 
 
@@ -115,7 +126,7 @@ _REGION_SQL = "own as (select id, id as node, 0 as distance from nodes union all
 
 def _region_of(spark: SparkSession, d: str) -> DataFrame:
     marks = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
-    return graph.region_of(V.nodes(spark, d), _closure(spark, d), marks)
+    return graph.region_of(V.nodes(spark, d), V.contains(spark, d), marks)
 
 
 @query(with_sql(NODES_SQL, LINKS_SQL, CONTAINS_SQL, _CLOSURE_SQL, _REGION_SQL, recursive=True) + "select id, region from regions")
@@ -128,12 +139,24 @@ def region_closure_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _region_of(spark, d).groupBy("region").agg(F.count("*").alias("n_nodes"))
 
 
-@query("select 'p' || p_partkey as id, p_name as label from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'N' and l_quantity > 45)")
+@query(
+    with_sql(
+        LINKS_SQL, CONTAINS_SQL, _CLOSURE_SQL, "roots as (select 'n' || n_nationkey as root from nation where n_nationkey < 5 union all select 'parts')",
+        "files as (select distinct node as id, ancestor as root from closure where ancestor in (select root from roots) and (node[1] = 'p' and node <> 'parts' or node[1] = 'o'))",
+        "held as (select 'p' || l_partkey as id from lineitem where l_returnflag = 'N' and l_quantity > 45 union select 'o' || l_orderkey from lineitem where l_linestatus = 'O')",
+        recursive=True,
+    )
+    + "select id, root from files where id not in (select id from held)"
+)
 def missing_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Files without a readable location: parts with no large unreturned lineitem (GR-13)."""
-    held = table(spark, d, "lineitem").filter("l_returnflag = 'N' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    found = table(spark, d, "part").join(held, "p_partkey", "left_anti")
-    return found.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"))
+    """Files in the closure of placed roots, references aside, that have no readable location (GR-13, RC-07)."""
+    name = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    roots = table(spark, d, "nation").filter("n_nationkey < 5").select(name("n", "n_nationkey").alias("ancestor"))
+    roots = roots.unionByName(spark.range(1).select(F.lit("parts").alias("ancestor")))
+    files = _closure(spark, d).join(roots, "ancestor", "left_semi").filter("node like 'o%' or (node like 'p%' and node <> 'parts')").select(F.col("node").alias("id"), F.col("ancestor").alias("root")).distinct()
+    lines = table(spark, d, "lineitem")
+    held = lines.filter("l_returnflag = 'N' and l_quantity > 45").select(name("p", "l_partkey").alias("file_id")).unionByName(lines.filter("l_linestatus = 'O'").select(name("o", "l_orderkey").alias("file_id")))
+    return reconcile.missing_bytes(files.withColumnRenamed("id", "file_id"), held.distinct()).select(F.col("file_id").alias("id"), "root")
 
 
 _NEXT_SQL = "edges as (select o_orderkey as node, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as next from orders)"
@@ -191,9 +214,9 @@ def applied_marks(spark: SparkSession, d: str) -> DataFrame:
     return log_tips(V.chat_log(spark, d))
 
 
-@query(with_sql(CHAT_SQL) + "select log_id, seq, kind, body from (select *, row_number() over w as no, coalesce(sum(strlen(body)) over (partition by log_id order by seq rows between unbounded preceding and 1 preceding), 0) as before from log window w as (partition by log_id order by seq)) where no <= 5 and before < 1500")
+@query(with_sql(CHAT_SQL) + "select log_id, seq, kind, body from (select *, row_number() over w as no, coalesce(sum(strlen(body)) over (partition by log_id order by seq rows between unbounded preceding and 1 preceding), 0) as before from log window w as (partition by log_id order by seq)) where no <= 5 and before <= 1500")
 def log_range_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The next batch of every log: at most five rows, cut once the bodies reach 1,500 bytes (SRC-01, ORD-07)."""
+    """The next batch of every log: at most five rows, cut once the bodies exceed 1,500 bytes (SRC-01, ORD-07)."""
     return batch_cut(V.chat_log(spark, d), 5, 1500)
 
 
@@ -251,12 +274,23 @@ def content_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return verify.duplicates(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("select page_id, case when doc_id is null then 'Missing' when n_chars = length(html) then 'Ok' else 'Mismatch' end as status from pages left join documents on doc_id = page_id * 7")
+_HELD_SQL = """files as (select doc_id as file_id, case when doc_id % 11 = 0 then '' else sha256(text) end as content_hash from documents),
+locations as (select doc_id as file_id, 'file:///' || doc_id as uri from documents union all select doc_id, 'copy:///' || doc_id from documents where doc_id % 2 = 0),
+stored as (select 'file:///' || doc_id as uri, case when doc_id % 7 = 0 then text || '!' else text end as content from documents where doc_id % 5 <> 0 union all select 'copy:///' || doc_id, text from documents)"""
+
+
+@query(
+    with_sql(_HELD_SQL)
+    + "select file_id, uri, status, case status when 'Ok' then 'lift' when 'Mismatch' then 'quarantine' end as action from (select file_id, l.uri, case when content_hash = '' then 'Unhashed' when s.uri is null then 'Missing' when sha256(content) = content_hash then 'Ok' else 'Mismatch' end as status from locations l join files using (file_id) left join stored s on s.uri = l.uri)"
+)
 def content_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Each location's state against the content it should hold (VF-08)."""
-    files = table(spark, d, "documents").select("doc_id", "n_chars")
-    out = table(spark, d, "pages").select("page_id", F.length("html").alias("size")).join(files, F.col("doc_id") == F.col("page_id") * 7, "left")
-    return out.select("page_id", F.when(F.col("doc_id").isNull(), "Missing").when(F.col("n_chars") == F.col("size"), "Ok").otherwise("Mismatch").alias("status"))
+    """Each location's contents against the hash of the file that it should hold (VF-08, RD-17)."""
+    docs, key = table(spark, d, "documents"), F.col("doc_id").cast("string")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.sha2("text", 256)).alias("content_hash"))
+    at = lambda scheme, df: df.select(F.col("doc_id").alias("file_id"), F.concat(F.lit(scheme), key).alias("uri"))
+    places = at("file:///", docs).unionByName(at("copy:///", docs.filter("doc_id % 2 = 0")))
+    stored = docs.filter("doc_id % 5 <> 0").select(F.concat(F.lit("file:///"), key).alias("uri"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    return verify.location_checks(places, files, stored.unionByName(docs.select(F.concat(F.lit("copy:///"), key).alias("uri"), F.col("text").alias("content"))))
 
 
 # --- authorization -----------------------------------------------------------------------------------------------
@@ -391,13 +425,13 @@ def pending_changes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.coalesce("c_name", F.lit("?")).alias("label"), "event_type")
 
 
-@query("select 's' || s_suppkey as folder, case r_name when 'AFRICA' then 'in-place' when 'ASIA' then 'migrate' else 'mirror' end as kind from supplier join nation on n_nationkey = s_nationkey left join region on r_regionkey = n_regionkey and r_name in ('AFRICA', 'ASIA')")
+@query("select 's' || s_suppkey as folder_id, case when r_name = 'AFRICA' then 'mirror' when r_name = 'ASIA' then 'migrate' else 'in-place' end as kind from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey where s_suppkey % 10 <> 0")
 def binding_kind(spark: SparkSession, d: str) -> DataFrame:
-    """Bindings by their placement: central, kept or none (JN-12)."""
-    placed = table(spark, d, "region").filter(F.col("r_name").isin("AFRICA", "ASIA")).select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    bound = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(placed, "n_regionkey", "left")
-    kind = F.when(F.col("r_name") == "AFRICA", "in-place").when(F.col("r_name") == "ASIA", "migrate").otherwise("mirror")
-    return bound.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("folder"), kind.alias("kind"))
+    """Active bindings by their placement: kept, central or none (JN-12, RC-05)."""
+    at = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    at = at.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("folder_id"), (F.col("s_suppkey") % 10 == 0).alias("unbound"), "r_name")
+    mode = F.when(F.col("r_name") == "AFRICA", "central-keep").when(F.col("r_name") == "ASIA", "central").otherwise("sync")
+    return reconcile.binding_kinds(at, at.select(F.col("folder_id").alias("root"), mode.alias("mode"))).select("folder_id", "kind")
 
 
 _HOST = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
@@ -439,18 +473,22 @@ def advertise_diff(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.difference(rows.filter("l_returnflag = 'N'"), rows.filter("l_linestatus = 'F'"), ["file", "location"])
 
 
-@query("select p_partkey, p_brand, case when no = 1 then name else name || '~' || p_partkey end as export_name from (select *, row_number() over (partition by p_brand, name order by p_partkey) as no from (select p_partkey, p_brand, replace(p_name, ' ', '_') as name from part))")
+@query(
+    "with named as (select p_partkey, p_brand, case when p_partkey % 9 = 1 then repeat(p_name || ' ', 40) else p_name end as name, '~' || left(cast(p_partkey as varchar), 8) as tag from part), "
+    "cut as (select *, case when strlen(name) > 240 then left(name, 200) || tag else name end as first from named) "
+    "select p_partkey, p_brand, case when row_number() over (partition by p_brand, first order by p_partkey) = 1 then first else first || tag end as export_name from cut"
+)
 def export_names(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
-    return reconcile.claimed_names(parts, "p_brand", F.regexp_replace("p_name", " ", "_"), "p_partkey").drop("p_name")
+    """Names in a folder, too long and taken ones made unique (SNK-04). No name here equals another one's second choice; tests have such."""
+    name = F.when(F.col("p_partkey") % 9 == 1, F.expr("repeat(p_name || ' ', 40)")).otherwise(F.col("p_name"))
+    return reconcile.claimed_names(table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), "p_brand", name, "p_partkey").drop("p_name")
 
 
-@query("select url as path, len(string_split(url, '/')) as depth from pages where url not in (select url from pages where contains(html, 'the '))")
+@query("select distinct url as path, len(string_split(url, '/')) as depth from pages where url not in (select url from pages where contains(html, 'the '))")
 def export_prune_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of an earlier manifest that the new one lacks, with their depth for deepest-first removal (SNK-05)."""
-    pages = table(spark, d, "pages")
-    gone = pages.select("url").join(pages.filter(F.contains("html", F.lit("the "))).select("url"), "url", "left_anti")
-    return gone.select(F.col("url").alias("path"), F.size(F.split("url", "/")).cast("long").alias("depth"))
+    """Paths of an earlier manifest that the new one lacks, with their depth, deepest first (SNK-05)."""
+    pages = table(spark, d, "pages").withColumn("path", F.col("url"))
+    return reconcile.export_prune(pages, pages.filter(F.contains("html", F.lit("the "))))
 
 
 @query("select l_partkey as file, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) as location from lineitem group by l_partkey")
@@ -496,11 +534,11 @@ def score_order(spark: SparkSession, d: str) -> DataFrame:
     return media.by_score(parts, "p_brand", "p_retailprice", "key", "p_partkey").select("p_partkey", "p_brand", "position")
 
 
-@query("select c_custkey, round(coalesce(c_acctbal / 10000 * 0.7 + avg(o_totalprice / 500000) filter (o_totalprice / 500000 < c_acctbal / 10000) * 0.3, c_acctbal / 10000), 13) as effective from customer left join orders on o_custkey = c_custkey group by c_custkey, c_acctbal")
+@query("select c_custkey, round(c_acctbal / 10000 - coalesce(0.3 * sum((c_acctbal / 10000 - o_totalprice / 500000) / (1 + o_totalprice / 500000)) filter (o_totalprice / 500000 < c_acctbal / 10000) / sum(1 / (1 + o_totalprice / 500000)) filter (o_totalprice / 500000 < c_acctbal / 10000), 0), 9) as effective from customer left join orders on o_custkey = c_custkey group by c_custkey, c_acctbal")
 def effective_score(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 10000).alias("score"))
     anchors = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_totalprice") / 500000).alias("anchor_score"))
-    return media.effective_score(rows, "c_custkey", "score", anchors, 0.3).withColumn("effective", F.round("effective", 13))
+    return media.effective_score(rows, "c_custkey", "score", anchors, 0.3).withColumn("effective", F.round("effective", 9))
 
 
 @query("select event_id, round(case when event_id % 400 - 5 >= 0 then value / 1000 / ln(event_id % 400 - 5 + 1.0::double + 1e-9) end, 3) as rank, round(case when value / 500 < 1 then -ln(1 - value / 500) end, 9) as impossibility from events")
@@ -546,20 +584,35 @@ def config_map(spark: SparkSession, d: str) -> DataFrame:
 
 # --- scalar functions --------------------------------------------------------------------------------------------
 
-_MIME_SQL = "coalesce(case x " + " ".join(f"when '{k}' then '{v}'" for k, v in S.MIME.items()) + " end, 'application/octet-stream')"
+_NAMES = ["a.MKV", "b.mp4", "c.m4v", "d.avi", "e.mov", "f.mp3", "g.flac", "h.m4a", "i.wav", "j.jpg", "k.jpeg", "l.png", "m.gif", "n.webp", "o.srt", "p.pdf", "q.tar.txt", "r.md", "s.json", "t.xml", "u.html", "v.HTM", "w.zip", "mp4", "noext", "x.unknown", "y."]
 
 
-@query(f"select page_id, x as extension, {_MIME_SQL} as mime from (select page_id, lower(string_split(name, '.')[-1]) as x from (select page_id, 'file' || page_id || case page_id % 4 when 0 then '.MKV' when 1 then '.tar.txt' when 2 then '' else '.unknown' end as name from pages))")
+@query(
+    "with names as (select ["
+    + ", ".join(f"'{x}'" for x in _NAMES)
+    + """] as n) select event_id, x as extension, case x when 'mkv' then 'video/x-matroska' when 'mp4' then 'video/mp4' when 'm4v' then 'video/mp4' when 'avi' then 'video/x-msvideo' when 'mov' then 'video/quicktime'
+ when 'mp3' then 'audio/mpeg' when 'flac' then 'audio/flac' when 'm4a' then 'audio/mp4' when 'wav' then 'audio/wav' when 'jpg' then 'image/jpeg' when 'jpeg' then 'image/jpeg' when 'png' then 'image/png' when 'gif' then 'image/gif'
+ when 'webp' then 'image/webp' when 'srt' then 'application/x-subrip' when 'pdf' then 'application/pdf' when 'txt' then 'text/plain' when 'md' then 'text/markdown' when 'json' then 'application/json' when 'xml' then 'application/xml'
+ when 'html' then 'text/html' when 'htm' then 'text/html' when 'zip' then 'application/zip' else 'application/octet-stream' end as mime, x in ('mkv', 'txt') as wanted
+ from (select event_id, lower(string_split(n[1 + event_id % len(n)], '.')[-1]) as x from events, names)"""
+)
 def mime_guess(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("page_id") % 4
-    name = F.concat(F.lit("file"), F.col("page_id").cast("string"), F.when(i == 0, ".MKV").when(i == 1, ".tar.txt").when(i == 2, "").otherwise(".unknown"))
-    return table(spark, d, "pages").select("page_id", S.extension(name).alias("extension"), S.guess_mime(name).alias("mime"))
+    """Media types of every known extension and of names without one (FN-06, FLT-04)."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", S.extension(name).alias("extension"), S.guess_mime(name).alias("mime"), S.has_extension(name, F.lit("mkv, txt")).alias("wanted"))
+
+
+_RIGHTS_TEXTS = ["", "-", "none", "r", "w", "a", "rw", "aw", "rwa", "rrr", "rx", "R", "r w", "nonee"]
 
 
-@query("select event_id, case k when 0 then '-' else case when k & 1 <> 0 then 'r' else '' end || case when k & 2 <> 0 then 'w' else '' end || case when k & 4 <> 0 then 'a' else '' end end as letters, k as bits from (select event_id, cast(json_extract_string(props, '$.k') as int) % 8 as k from events)")
+@query(
+    "select event_id, case k when 0 then '-' else case when k & 1 <> 0 then 'r' else '' end || case when k & 2 <> 0 then 'w' else '' end || case when k & 4 <> 0 then 'a' else '' end end as letters, [0, 0, 0, 1, 2, 4, 3, 6, 7, 1, null, null, null, null][1 + event_id % 14] as bits from (select event_id, cast(json_extract_string(props, '$.k') as int) % 8 as k from events)"
+)
 def rights_fmt(spark: SparkSession, d: str) -> DataFrame:
+    """Rights as letters, and letters as rights, also foreign ones (FN-07)."""
+    text = F.element_at(F.array(*map(F.lit, _RIGHTS_TEXTS)), (F.col("event_id") % 14 + 1).cast("int"))
     letters = S.format_rights(F.get_json_object("props", "$.k").cast("int") % 8)
-    return table(spark, d, "events").select("event_id", letters.alias("letters")).select("event_id", "letters", S.parse_rights(F.col("letters")).alias("bits"))
+    return table(spark, d, "events").select("event_id", letters.alias("letters"), S.parse_rights(text).alias("bits"))
 
 
 _WHO = "case c_custkey % 6 when 0 then 'any' when 1 then 'public' when 2 then 'key:' || md5(c_name) when 3 then 'tag:' || lower(c_mktsegment) when 4 then 'tag:Bad Tag' else 'key:xyz' end"
@@ -573,17 +626,24 @@ def principal_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("c_custkey", S.principal_kind(F.col("who")).alias("kind"), S.valid_tag(F.split_part("who", F.lit(":"), F.lit(2))).alias("valid"))
 
 
-@query("select event_id, case when u = '@' then cast(n as bigint) when u in ('s', 'm', 'h', 'd', 'w') then n * case u when 's' then 1000 when 'm' then 60000 when 'h' then 3600000 when 'd' then 86400000 else 604800000 end end as ms from (select event_id, event_id % 90 as n, ['s', 'm', 'h', 'd', 'w', '@', 'x'][1 + event_id % 7] as u from events)")
+_SPANS = ["45s", "30m", "12h", "7d", "2w", "@17", "@0", "9", "", "s", "-1s", "5x", "99999999999999999999s", "9223372036854775807w", "@99999999999999999999", "15250284452w"]
+
+
+@query("select event_id, [45000, 1800000, 43200000, 604800000, 1209600000, 17, null, null, null, null, null, null, null, null, null, 9223372036569600000][1 + event_id % 16] as ms from events")
 def duration_ms(spark: SparkSession, d: str) -> DataFrame:
-    n, unit = (F.col("event_id") % 90).cast("string"), F.element_at(F.array(*map(F.lit, "smhdw@x")), (F.col("event_id") % 7 + 1).cast("int"))
-    rows = table(spark, d, "events").select("event_id", F.when(unit == "@", F.concat(F.lit("@"), n)).otherwise(F.concat(n, unit)).alias("text"))
-    return rows.select("event_id", S.duration_ms(F.col("text")).alias("ms"))
+    """Durations of every unit, malformed ones and ones beyond 64 bits (FN-10)."""
+    text = F.element_at(F.array(*map(F.lit, _SPANS)), (F.col("event_id") % len(_SPANS) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", S.duration_ms(text).alias("ms"))
 
 
-@query(r"select page_id, case when clean = '' then 'node-' || page_id else clean end as name from (select page_id, trim(regexp_replace(case when page_id % 5 = 0 then ' ' else url || chr(10) end, '[/\x00-\x1F\x7F]', '_', 'g')) as clean from pages)")
+@query(
+    r"select page_id, case when clean in ('', '.', '..') then 'node-' || h[1:8] else clean end as name from (select page_id, sha256(url) as h, regexp_replace(regexp_replace(case page_id % 8 when 0 then ' ' when 1 then '.' when 2 then chr(160) || '..' || chr(12288) when 3 then chr(133) || url when 4 then '  ' || url || ' ' else url || chr(10) end, '[/\x00-\x1F\x7F-\x{9F}]', '_', 'g'), '^\p{Z}+|\p{Z}+$', '', 'g') as clean from pages)"
+)
 def safe_name(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("page_id") % 5 == 0, " ").otherwise(F.concat("url", F.lit("\n")))
-    return table(spark, d, "pages").select("page_id", S.safe_name(name, F.col("page_id").cast("string")).alias("name"))
+    """Labels as file names: separators, control characters, wide spaces, and names that vanish (FN-12)."""
+    i = F.col("page_id") % 8
+    name = F.when(i == 0, " ").when(i == 1, ".").when(i == 2, "\u00a0..\u3000").when(i == 3, F.concat(F.lit("\u0085"), "url")).when(i == 4, F.concat(F.lit("  "), "url", F.lit(" "))).otherwise(F.concat("url", F.lit("\n")))
+    return table(spark, d, "pages").select("page_id", S.safe_name(name, F.sha2("url", 256)).alias("name"))
 
 
 @query("select page_id, regexp_extract(url, '^([a-z][a-z0-9+.-]*)://', 1) as scheme, regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) as host, regexp_extract(url, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path, len(list_filter(string_split(url, '/'), lambda x: x <> ''))::int as n_segments from pages")

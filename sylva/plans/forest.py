@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.authz import ANY, KEY, PUBLIC, TAG
 from ..sources.tables import millis, table
 
 AS_OF = 1500  # the time at which expiry and activity are judged
@@ -121,9 +122,6 @@ def member_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(_id("k", "c_custkey").alias("member"), F.lower("c_mktsegment").alias("tag"), F.concat(F.lit("k"), (F.col("c_custkey") % 13).cast("string")).alias("authority"))
 
 
-ANY, KEY, PUBLIC, TAG = range(4)
-
-
 def acl(spark: SparkSession, d: str) -> DataFrame:
     """node_id, principal_kind, principal_id, authority, rights, expires_at (0: never)."""
     r, n, c = (table(spark, d, x) for x in ("region", "nation", "customer"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import sets
+from ..operators import sets, verify
 from ..sources import feeds
 from ..sources.tables import table
 from . import forest as V
@@ -94,12 +94,14 @@ def first_location(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name").join(first, "p_partkey", "left")
 
 
-@query("select c_mktsegment, sha256(string_agg(c_custkey || '=' || c_nationkey, chr(10) order by c_custkey)) as fingerprint from customer where c_custkey <= 5000 group by c_mktsegment")
+@query(
+    "with blocks as (select c_mktsegment, c_custkey // 1024 as block, sha256(string_agg(c_custkey || '=' || c_nationkey, chr(10) order by c_custkey)) as h from customer group by 1, 2) "
+    "select c_mktsegment, sha256(string_agg(h, chr(10) order by block)) as fingerprint from blocks group by c_mktsegment"
+)
 def score_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A hash over the ordered lines id=score of each of a few bounded groups (AGG-13); for unbounded ones use verify.commitment."""
-    lines = F.array_sort(F.collect_list(F.struct("c_custkey", F.concat_ws("=", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")).alias("line"))))
-    rows = table(spark, d, "customer").filter("c_custkey <= 5000").groupBy("c_mktsegment").agg(lines.alias("x"))
-    return rows.select("c_mktsegment", F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), 256).alias("fingerprint"))
+    """A hash over the lines id=score of each group in order of id (AGG-13), by way of hashes of ranges of ids."""
+    line = F.concat_ws("=", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"))
+    return verify.ordered_fingerprint(table(spark, d, "customer"), "c_mktsegment", "c_custkey", line, 1024)
 
 
 # --- feeds -------------------------------------------------------------------------------------------------------
@@ -154,13 +156,14 @@ def verified_append(spark: SparkSession, d: str) -> DataFrame:
 # --- scalars -----------------------------------------------------------------------------------------------------
 
 
-@query("select event_id, case when event_id % 4 = 3 then null else event_id end as start, case when event_id % 4 in (1, 3) then null else event_id * 2 end as \"end\" from events")
+_RANGE_TEXTS = ["0-10", "5-", "7-3", "-5", "9", "", "1-2-3", "99999999999999999999-", "1-99999999999999999999", "a-b"]
+
+
+@query("select event_id, [0, 5, 7, null, null, null, null, null, null, null][1 + event_id % 10]::bigint as start, [10, null, 3, null, null, null, null, null, null, null][1 + event_id % 10]::bigint as \"end\" from events")
 def byte_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Ranges START-END and START-, and malformed ones (FN-28)."""
-    i, key = F.col("event_id") % 4, F.col("event_id").cast("string")
-    text = F.when(i == 1, F.concat(key, F.lit("-"))).when(i == 3, F.concat(key, F.lit("+"))).otherwise(F.concat(key, F.lit("-"), (F.col("event_id") * 2).cast("string")))
-    found = table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in S.byte_range(text).items()])
-    return found
+    """Ranges START-END and START-, malformed ones and ones beyond 64 bits (FN-28)."""
+    text = F.element_at(F.array(*map(F.lit, _RANGE_TEXTS)), (F.col("event_id") % 10 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in S.byte_range(text).items()])
 
 
 @query("select event_id, case when x <= 0 then 'expired' when x >= 604800000 then x // 604800000 || 'w' when x >= 86400000 then x // 86400000 || 'd' when x >= 3600000 then x // 3600000 || 'h' when x >= 60000 then x // 60000 || 'm' else (x + 999) // 1000 || 's' end as remaining from (select event_id, event_id * event_id * 37 - 5 as x from events)")

@@ -1,4 +1,7 @@
-"""JSON feeds: lines read with their errors told apart, and rows written as canonical bundles with their hashes."""
+"""JSON feeds: lines read with their errors told apart, and rows written as canonical bundles with their hashes.
+
+A null line is a bad one. Repeated lines and rows are kept each. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Source tables, log scans and written intermediate tables."""
+"""Source tables, log scans, file scans and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local master without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, which cuts its lineage."""
+    """df as a Parquet table in the shared folder, which cuts its lineage: lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,13 +48,74 @@ def log_range(log: DataFrame, from_seq: int, most: int) -> DataFrame:
     return log.filter(F.col("seq") >= from_seq).orderBy("seq").limit(most)
 
 
+def log_row(log: DataFrame, seq: int) -> DataFrame:
+    """The row of each log at seq, if any (SRC-02); the condition reaches the scan."""
+    return log.filter(F.col("seq") == seq)
+
+
+def region_log(log: DataFrame, log_id: object, from_seq: int = 0) -> DataFrame:
+    """The rows of one log from from_seq on, each with the log's tip (SRC-04); none if the log isn't held. A log partitioned by log_id is pruned to that folder."""
+    own = log.filter(F.col("log_id") == log_id)
+    tip = own.agg(F.max("seq").alias("tip"))  # one row
+    return own.filter(F.col("seq") >= from_seq).crossJoin(F.broadcast(tip))
+
+
+def baselines(log: DataFrame) -> DataFrame:
+    """log_id, seq, node_id, root of the generations of regions that logs begin, in RegionBaseline events (SRC-07)."""
+    return log.filter("kind = 'RegionBaseline'").select("log_id", "seq", "node_id", "root")
+
+
+def held_logs(found: DataFrame, held: DataFrame, parents: DataFrame) -> DataFrame:
+    """log_id, status of all logs that baselines found(log_id, parent_log) name, from the top down (ST-04): read if held and all above it are, else not_held or unreached.
+
+    parents(log_id) are the top logs. As many rounds as logs are nested.
+    """
+    have = held.select("log_id").distinct()
+    reached = written(parents.select("log_id").distinct().join(have, "log_id", "left_semi"), "reached")
+    last = reached
+    while True:
+        below = found.join(last.select(F.col("log_id").alias("parent_log")), "parent_log", "left_semi").select("log_id").distinct()
+        last = written(below.join(have, "log_id", "left_semi").join(reached, "log_id", "left_anti"), "reached")
+        if last.isEmpty():
+            break
+        reached = written(reached.unionByName(last), "reached")
+    every = found.select("log_id").unionByName(parents.select("log_id")).distinct()
+    ok, there = reached.withColumn("_ok", F.lit(True)), have.withColumn("_have", F.lit(True))
+    return every.join(ok, "log_id", "left").join(there, "log_id", "left").select("log_id", F.when(F.col("_ok"), "read").when(F.col("_have"), "unreached").otherwise("not_held").alias("status"))
+
+
 def log_tips(log: DataFrame) -> DataFrame:
     """The last seq of every log and its row count (SRC-03, ST-05)."""
     return log.groupBy("log_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n_rows"))
 
 
 def batch_cut(log: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
-    """Per log, the rows of the next batch: at most most_rows, and none after one that brings the bodies to most_bytes (ORD-07)."""
+    """Per log, the rows of the next batch: at most most_rows, and none after one that brings the bodies beyond most_bytes (ORD-07).
+
+    Each log's rows from the batch's start on are summed in one task; a log is read in batches, so filter it by seq first.
+    """
     w = Window.partitionBy("log_id").orderBy("seq")
     before = F.coalesce(F.sum(F.octet_length("body")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return log.withColumn("_no", F.row_number().over(w)).withColumn("_before", before).filter((F.col("_no") <= most_rows) & (F.col("_before") < most_bytes)).drop("_no", "_before")
+    return log.withColumn("_no", F.row_number().over(w)).withColumn("_before", before).filter((F.col("_no") <= most_rows) & (F.col("_before") <= most_bytes)).drop("_no", "_before")
+
+
+def files(spark: SparkSession, path: str, extensions: str = "", content: bool = False) -> DataFrame:
+    """uri, rel, name, length, modified, and content on demand, of the files under a folder, however deep (SRC-10, SRC-11).
+
+    Names with a dot in front, also of folders, are left out; extensions is a list, separated by commas, in lower case, empty for all. Spark lists the folder in
+    parallel and skips what it can't read. Without content only the listing is read.
+    """
+    from ..functions.scalars import has_extension
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = path.rstrip("/").split("://")[-1].removeprefix("file:")
+    rel = F.regexp_replace(F.expr("regexp_replace(path, '^[a-z]+:/*', '/')"), "^.*?" + "".join(c if c.isalnum() or c in "/_-" else f"\\{c}" for c in root) + "/", "")
+    name = F.element_at(F.split("path", "/"), -1)
+    out = found.select(F.col("path").alias("uri"), rel.alias("rel"), name.alias("name"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    return out.filter(~F.col("rel").rlike("(^|/)\\.") & has_extension(F.col("name"), F.lit(extensions)))
+
+
+def appended(feed: DataFrame, more: DataFrame, key: str, position: str) -> DataFrame:
+    """What of more an append-only feed takes: rows whose key it lacks, the first of each key by position (SRC-16)."""
+    first = more.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in more.columns]), F.col(position)).alias("_x")).select("_x.*")
+    return first.join(feed.select(key), key, "left_anti").select(*more.columns)

@@ -37,12 +37,16 @@ def test_walk_is_pre_order_and_does_not_descend_references(forest):
     assert graph.walk(*forest, "nowhere").count() == 0
 
 
-def test_a_cycle_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(graph, "DEEPEST", 6)
+def test_a_cycle_is_an_error(spark):
     nodes = spark.createDataFrame([("a", "folder", "a"), ("b", "folder", "b")], NODES)
     links = spark.createDataFrame([("1", "a", "b", "contains", "V", False, False), ("2", "b", "a", "contains", "V", False, False)], LINKS)
     with pytest.raises(ValueError):
         graph.walk(nodes, links, "a")
+    with pytest.raises(ValueError):
+        graph.ancestors(links)
+    ring = spark.createDataFrame([(i, i % 7 + 1) for i in range(1, 8)], "node long, next long")
+    with pytest.raises(ValueError):
+        graph.chains(ring)
 
 
 def test_children_order_and_positions(forest):
@@ -54,18 +58,19 @@ def test_closure_paths_and_orphans(forest):
     nodes, links = forest
     closure = graph.ancestors(links.filter("link_type = 'contains' and not removed"))
     assert {(r.ancestor, r.distance) for r in closure.filter("node = 'x'").collect()} == {("c", 1), ("root", 2)}
-    paths = {r.id: r.path for r in graph.paths(nodes, closure).collect()}
+    paths = {r.id: r.path for r in graph.paths(nodes, links.filter("link_type = 'contains' and not removed")).collect()}
     assert paths["in"] == "ROOT/A/IN" and paths["root"] == "ROOT"
     assert {r.id for r in graph.orphans(nodes, links).collect()} == {"root", "y"}
 
 
 def test_cycles_regions_and_chains(spark, forest):
     nodes, links = forest
-    closure = graph.ancestors(links.filter("link_type = 'contains' and not removed"))
+    contains = links.filter("link_type = 'contains' and not removed")
+    closure = graph.ancestors(contains)
     moves = spark.createDataFrame([("a", "in"), ("a", "a"), ("a", "b")], "child string, new_parent string")
-    assert {(r.child, r.new_parent, r.distance) for r in graph.would_cycle(moves, closure).collect()} == {("a", "in", 1), ("a", "a", 0)}
+    assert {(r.child, r.new_parent, r.distance, tuple(r.path)) for r in graph.would_cycle(moves, closure).collect()} == {("a", "in", 1, ("in", "a")), ("a", "a", 0, ("a",))}
     marks = spark.createDataFrame([("a",), ("root",)], "node string")
-    regions = {r.id: r.region for r in graph.region_of(nodes, closure, marks).collect()}
+    regions = {r.id: r.region for r in graph.region_of(nodes, contains, marks).collect()}
     assert regions["in"] == "a" and regions["a"] == "a" and regions["x"] == "root" and regions["y"] == "top"
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, None), (9, None)], "node long, next long")
     assert {tuple(r) for r in graph.chains(edges).select("node", "head", "position").collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (9, 9, 0)}
@@ -89,6 +94,8 @@ def test_folds(spark):
 def test_batches_end_after_the_row_that_fills_them(spark):
     log = spark.createDataFrame([("l", i, "x" * 10) for i in range(1, 8)], "log_id string, seq long, body string")
     assert [r.seq for r in batch_cut(log, 5, 25).orderBy("seq").collect()] == [1, 2, 3]
+    assert [r.seq for r in batch_cut(log, 5, 20).orderBy("seq").collect()] == [1, 2, 3]  # filled to the byte goes on
+    assert [r.seq for r in batch_cut(log, 5, 19).orderBy("seq").collect()] == [1, 2]
     assert [r.seq for r in batch_cut(log, 2, 1000).orderBy("seq").collect()] == [1, 2]
 
 
@@ -161,7 +168,8 @@ def test_scores(spark):
     rows = spark.createDataFrame([(1, 0.8), (2, 0.5)], "k int, score double")
     anchors = spark.createDataFrame([(1, 0.4), (1, 0.6), (1, 0.9), (2, 0.7)], "k int, anchor_score double")
     found = {r.k: round(r.effective, 9) for r in media.effective_score(rows, "k", "score", anchors, 0.5).collect()}
-    assert found == {1: 0.65, 2: 0.5}
+    # Weights 1 / 1.4 and 1 / 1.6: the nearer anchor, which is the worse one, pulls less.
+    assert found == {1: round(0.8 - 0.5 * (0.4 / 1.4 + 0.2 / 1.6) / (1 / 1.4 + 1 / 1.6), 9), 2: 0.5}
     listing = spark.range(600)
     assert media.page(listing, [F.col("id")], -5, 0).count() == 1 and media.page(listing, [F.col("id")], 0, 9999).count() == 500
 
