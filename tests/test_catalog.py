@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from sylva.plans import access, catalog, transfer  # noqa: F401  they add their queries to the catalog's
+from sylva.plans import access, catalog, transfer, upkeep  # noqa: F401  they add their queries to the catalog's
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
