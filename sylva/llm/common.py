@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import partitions, shared_dir, written  # noqa: F401  for the operators too
+
 #: White space of the word contracts: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,33 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that spark.checkpoint.dir names. Where that is unset, a local master gets a
-    temporary folder of its own; on a cluster the setting is required.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="sylva-")
-    spark.sparkContext.setCheckpointDir(made)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_own_names(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, which returns the columns of its first argument, on tables whose other columns may have any names, also those that f uses itself."""
 
+    @wraps(f)
+    def run(docs: DataFrame, *args: object, **how: object) -> DataFrame:
+        names = [c if c in ("doc_id", "text", "lang", "source") else f"x{i}" for i, c in enumerate(docs.columns)]
+        return f(docs.toDF(*names), *args, **how).select(*names).toDF(*docs.columns)
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return run
 
 
 def in_order(df: DataFrame, *order: Column, size: str | None = None) -> DataFrame:

@@ -281,7 +281,10 @@ def _padded(text: str | None) -> tuple[int, bytes]:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the media column: each text's padded UTF-8 bytes as a transport stream."""
+    """doc_id, n_bytes and the media column: each text's padded UTF-8 bytes as a transport stream.
+
+    Null text is empty, and an empty payload 64 zero bytes; long texts become long streams; repeated rows give equal rows; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

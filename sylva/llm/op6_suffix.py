@@ -249,11 +249,13 @@ def _by_hash(contents: DataFrame, match: int) -> DataFrame:
     return windows.join(first, ["one", "two"]).filter(F.struct("doc", "start") != F.col("first")).select("doc", "start", F.lit(1).cast("long").alias("n"))
 
 
-def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """doc, start, n: runs of n windows, from byte start on, that stand earlier too. docs has _doc, each once, and text.
 
     Windows are grouped by anchor. Whole groups that repeat are found by hash; where unlike groups
-    share a gram, their bytes go to suffix families, each of which takes its tasks' groups in order.
+    share a gram, their bytes go to suffix families, each of which takes its tasks' groups in order. A gram of more than hot (HOT) unlike groups
+    has its windows met by two 64-bit hashes instead. Of like groups each batch sends one to the task where they meet, so that reads no more rows of a
+    group than there are batches.
     """
     met = written(_met(_groups(docs, match, gram)), "met")
     repeated = met.filter("not mixed").select("doc", "start", "n")
@@ -261,14 +263,14 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Dat
     total = unlike.count()
     if not total:
         return repeated
-    hot = written(unlike.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("h"), "hot")
+    crowded = written(unlike.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > (HOT if hot is None else hot)).select("h"), "hot")
     contents = _contents(docs, unlike, match)
     n_tasks = max(partitions(docs.sparkSession), -(-total // TASK))
-    if hot.isEmpty():
+    if crowded.isEmpty():
         return repeated.unionByName(written(_by_family(contents, n_tasks, match), "again"))
     contents = written(contents, "contents")
-    cool = written(_by_family(contents.join(hot, "h", "left_anti"), n_tasks, match), "again")
-    return repeated.unionByName(cool).unionByName(_by_hash(contents.join(hot, "h", "left_semi"), match))
+    cool = written(_by_family(contents.join(crowded, "h", "left_anti"), n_tasks, match), "again")
+    return repeated.unionByName(cool).unionByName(_by_hash(contents.join(crowded, "h", "left_semi"), match))
 
 
 def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> DataFrame:
@@ -285,7 +287,9 @@ def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Da
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*added)
-    columns = docs.columns
+    given = docs.columns
+    columns = [c if c in ("doc_id", "text") else f"x{i}" for i, c in enumerate(given)]  # any name may be given
+    docs = docs.toDF(*columns)
     numbered, single = _numbered(docs)
     spans = repeated_spans(single, match, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).withColumnRenamed("doc", "_of")
     joined = numbered.join(spans, F.col("_doc") == F.col("_of"), "left").select(*columns, "_spans")
@@ -320,7 +324,7 @@ def without_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM) -> Da
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*given, *added)
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

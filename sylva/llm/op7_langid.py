@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_runs, documents, lower_ascii, written
+from .common import byte_runs, documents, lower_ascii, with_own_names, written
 
 #: Buckets that byte trigrams are hashed to, labels whose counts a task holds before it gives them on, and languages whose evidence is summed at once.
 BUCKETS, HELD, ABREAST = 1 << 14, 256, 64
@@ -114,6 +114,7 @@ def fused(evidence: DataFrame, languages: list[str]) -> DataFrame:
 
     The first guess of a row is by text alone. Grouped counts of guesses give how languages are declared, and priors: a host's
     counts are smoothed by its suffix's, and these by all rows'. A row's own guess is left out of its host's counts.
+    Null hosts and suffixes are groups of their own, a null declaration tells nothing; ties go to the first language; an empty table gives no rows.
     """
     names = [*languages, NONE]
     k = len(names)
@@ -168,7 +169,11 @@ def identified(docs: DataFrame, declared: str | None = "lang", host: str | None
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> doc_id, text, declared, host, suffix: markup's own language, address parts, and text without markup."""
+    """pages(page_id, url, html) -> doc_id, text, declared, host, suffix: markup's own language, address parts, and text without markup.
+
+    Null or malformed addresses have neither host nor suffix, null pages an empty text and no declaration; repeated rows give equal rows; an empty table gives no rows; a page of any
+    length is read whole; other columns are ignored.
+    """
     html = F.coalesce("html", F.lit(""))
     declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
@@ -177,6 +182,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("doc_id"), bare.alias("text"), F.when(declared != "", declared).alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
 
 
+@with_own_names
 def in_a_language(docs: DataFrame) -> DataFrame:
     """docs with all its columns, without the documents that are in no language."""
     columns = docs.columns
@@ -190,6 +196,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages by markup, address and text, with a model of the documents' declared languages; see page_evidence and identified for nulls and ties."""
     model = fit_trigrams(documents(spark, sf_dir).select("text", F.col("lang").alias("label")))
     pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     out = identified(pages, "declared", "host", "suffix", model)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, in_order, written
+from .common import WORD, documents, in_order, with_own_names, written
 
 #: Documents of one group of the tree's first level, and groups that meet in one group of the next.
 GROUP, FAN = 4096, 64
@@ -126,6 +126,7 @@ def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     return out.select("doc_id", "source", "size", "fold", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
+@with_own_names
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as mixed_copies takes it.
 

@@ -222,7 +222,7 @@ def test_scores_equal_a_plain_model(docs, monkeypatch, head):
         return int(op._words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
 
     place, end = {int(h): i for i, h in enumerate(model.head)}, op._TOTAL - 1
-    assert len(place) <= head
+    assert len(place) < head + 30  # a step of frequency is cut by hash
     of, counts = {"\0end": end}, {}
     for r in rows:
         for t in _tokens(r.text):
