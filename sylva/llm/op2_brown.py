@@ -15,8 +15,8 @@ from .common import byte_runs, documents, lower_ascii, partitions, prefix_hash,
 #: Frequent words that exchange assigns to classes and whose counts are broadcast, the most frequent of these, which the
 #: driver exchanges one by one, classes, and classes by spelling of all other words.
 HEAD, CORE, CLASSES, REST = 1 << 18, 1024, 64, 32
-#: Passes over the core at most, rounds over the other frequent words, words of one bucket, counts that a task holds, and tasks whose counts meet in one.
-PASSES, ROUNDS, BUCKET, HELD, FAN = 40, 2, 2048, 1 << 21, 16
+#: Passes over the core at most, rounds over the other frequent words, words of one bucket, counts that a task holds, tasks whose counts meet in one, and parts of a step of frequency.
+PASSES, ROUNDS, BUCKET, HELD, FAN, FOLDS = 40, 2, 2048, 1 << 21, 16, 4096
 _TOTAL = CLASSES + REST + 1  # the last class is the end token's
 _SIDES = 2 * _TOTAL + 1  # classes after a word, classes before it, and the word after itself
 _U = np.uint64
@@ -58,7 +58,10 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _frequent(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the HEAD most frequent words, sorted, and their counts. A task sums words until it holds HELD of them, then gives them on."""
+    """Hashes of about HEAD most frequent words, sorted, and their counts. A task sums words until it holds HELD of them, then gives them on.
+
+    Words are taken down to a step of frequency, of which a part by hash fills up HEAD, so no task or driver sees more words than are taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -76,8 +79,16 @@ def _frequent(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield out(*_summed(held))
 
-    words = train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+    words = written(train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    # Steps of frequency: each number below 1,024, then 64 to a doubling, so there are a few thousand whatever the corpus.
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64))
+    taken, edge, part = 0, -1, 0
+    for r in sorted(words.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        if taken + r["k"] > HEAD:
+            edge, part = r["s"], (HEAD - taken) * FOLDS // r["k"]
+            break
+        taken += r["k"]
+    top = words.filter((step > edge) | ((step == edge) & (F.pmod("h", F.lit(FOLDS)) < part))).toArrow()
     h, n = (top.column(i).to_numpy().astype(np.int64) for i in range(2))
     h = h.view(_U)
     order = np.argsort(h)

@@ -616,6 +616,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     import sylva.llm.op10_oddsketch as op
 
     monkeypatch.setattr(op, "BLOCK", 4)
+    monkeypatch.setattr(op, "PARTS", 2)
     monkeypatch.setattr(op, "STAR", 3)
     rows = near_rows()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
