@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_runs, documents, lower_ascii, mixed, prefix_hash, span_hash, word_spans, written
+from .common import byte_runs, documents, lower_ascii, mixed, prefix_hash, span_hash, with_own_names, word_spans, written
 from .graph import components
 
-#: Bits of an odd sketch, members of a bucket that are compared in one cell, members that share a copy of their leader, bits of the map of wanted texts.
-SKETCH_BITS, BLOCK, STAR, MAP_BITS = 512, 512, 256, 1 << 24
+#: Bits of an odd sketch, members of a bucket whose sketches are compared in one cell, parts of a cell where texts are, members that share a copy of their leader, bits of
+#: the map of wanted texts.
+SKETCH_BITS, BLOCK, PARTS, STAR, MAP_BITS = 512, 4096, 8, 256, 1 << 24
 _U = np.uint64
 
 
@@ -210,8 +211,14 @@ def _sifted_cells(cells: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
-    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked."""
-    met = _together(cells.join(texts, "node").select(*_CELL, "text"))
+    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked.
+
+    A cell is split into PARTS of its members, each of which meets all leading rows.
+    """
+    own, parts = F.pmod(F.shiftrightunsigned(F.xxhash64("node"), 40), F.lit(PARTS)).cast("int"), F.sequence(F.lit(0), F.lit(PARTS - 1))
+    split = cells.withColumn("_own", own).withColumn("_part", F.explode(F.when(F.col("leads"), parts).otherwise(F.array("_own"))))
+    split = split.withColumn("member", F.col("member") & (F.col("_part") == F.col("_own"))).withColumn("b", F.col("b") * PARTS + F.col("_part"))
+    met = _together(split.join(texts, "node").select(*_CELL, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -306,12 +313,19 @@ def _groups(buckets: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return open_.filter(~wide).unionByName(hot)
 
 
+def _joined(nodes: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component once the components that links(u, v) names are one; a node without a component is its own."""
+    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+    named = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return named.join(joined, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of percent or more.
 
     Returns doc_id, fold (hash of the text), n_shingles, component_id (the smallest doc_id reachable) and kept.
-    Rows with one set are one node. In every bucket of one band the smallest node leads; each node is held against the least of its
-    leaders that odd sketches don't rule out, on full sets, and joined to components. Then, in
+    Rows with one set are one node. In every bucket of one band the smallest node leads; each node is held on full sets against the least of its
+    leaders that odd sketches don't rule out, then, where that has not joined them, against the others. In
     buckets where several components meet, pairs across components are sifted by sketches, and those left are confirmed on
     full sets where they meet; only links leave a cell: no bucket or partner is capped. At 24 bands of 3 rows a pair of similarity 0.8 shares no
     bucket, or is ruled out, with probability below 1e-7.
@@ -329,19 +343,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     most = most_odd_bits(bands * rows, percent)
     of = lambda name: nodes.select(F.col("node").alias(name), F.col("odd").alias(f"odd_{name}"))
     stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    stars = _sifted(stars.join(of("v"), "v").join(of("u"), "u"), most).groupBy("v").agg(F.min("u").alias("u"))
-    stars = written(stars, "stars")
+    stars = written(_sifted(stars.join(of("v"), "v").join(of("u"), "u"), most), "stars")
     ends = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
     texts = _texts(docs, nodes.select("node", "rep").join(ends, "node"))
-    edges = written(confirmed(stars, texts, words, percent), "edges")
-    comp = written(components(edges), "components")
+    # The least leader first; the others only for nodes that this leaves in other components.
+    comp = written(components(confirmed(stars.groupBy("v").agg(F.min("u").alias("u")), texts, words, percent)), "components")
+    named = lambda name: nodes.select("node").join(comp, "node", "left").select(F.col("node").alias(name), F.coalesce("component", "node").alias(f"c{name}"))
+    apart = written(stars.join(named("u"), "u").join(named("v"), "v").filter("cu <> cv"), "apart")
+    if not apart.isEmpty():
+        links = confirmed(apart.select("u", "v"), texts, words, percent).join(apart, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        comp = written(_joined(nodes, comp, links), "components")
     cells = written(_sifted_cells(_dealt(written(_groups(buckets, nodes, comp), "groups"), nodes), most, percent), "cells")
     if not cells.isEmpty():
         more = cells.select("node").distinct().join(texts.select("node"), "node", "left_anti")
         texts = texts.unionByName(_texts(docs, nodes.select("node", "rep").join(more, "node")))
-        joined = written(components(_linked(cells, texts, words, most, percent)), "joined").select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-        comp = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        comp = comp.join(joined, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
+        comp = _joined(nodes, comp, _linked(cells, texts, words, most, percent))
     named = nodes.select("node", "least").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
@@ -350,6 +366,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", "fold", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+@with_own_names
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with all its columns, one document of each component kept; of equal rows that stay, one stays."""
     columns = docs.columns
