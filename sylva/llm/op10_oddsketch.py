@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import byte_runs, documents, lower_ascii, mixed, prefix_hash, span_hash, with_own_names, word_spans, written
 from .graph import components
 
-#: Bits of an odd sketch, members of a bucket whose sketches are compared in one cell, parts of a cell where texts are, members that share a copy of their leader, bits of
-#: the map of wanted texts.
-SKETCH_BITS, BLOCK, PARTS, STAR, MAP_BITS = 512, 4096, 8, 256, 1 << 24
+#: Bits of an odd sketch, members of a bucket whose sketches are compared in one cell, most parts of a cell where texts are, rows that fill such a part, members that share a
+#: copy of their leader, bits of the map of wanted texts.
+SKETCH_BITS, BLOCK, PARTS, FULL, STAR, MAP_BITS = 512, 4096, 8, 1024, 256, 1 << 24
 _U = np.uint64
 
 
@@ -191,7 +191,7 @@ def _together(rows: DataFrame) -> DataFrame:
 
 
 def _sifted_cells(cells: DataFrame, most: int, percent: int) -> DataFrame:
-    """The rows of cells that sketches and sizes let have a partner there: only these need their texts."""
+    """The rows of cells that sketches and sizes let have a partner there, with how many these are in their cell: only these need their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, _ in _cells(batches, lambda batch: []):
@@ -205,20 +205,26 @@ def _sifted_cells(cells: DataFrame, most: int, percent: int) -> DataFrame:
                 keep[y] = True
                 keep[x] |= len(y) > 0
             if keep.any():
-                yield cell.filter(pa.array(keep))
+                yield cell.filter(pa.array(keep)).append_column("kept", pa.array(np.full(keep.sum(), keep.sum()), pa.int32()))
 
-    return _together(cells).mapInArrow(run, _CELL_TYPES)
+    return _together(cells).mapInArrow(run, f"{_CELL_TYPES}, kept int")
 
 
-def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
-    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked.
+def _split(cells: DataFrame) -> DataFrame:
+    """Sifted cells in parts of about FULL rows, PARTS at most: each has its share of the members, and all leading rows.
+
+    So a leading row has one copy for every FULL rows of its cell, and a cell of fewer is left as it is.
+    """
+    n = F.least(F.ceil(F.col("kept") / F.lit(FULL)), F.lit(PARTS)).cast("int")
+    split = cells.withColumn("_n", n).withColumn("_own", F.pmod(F.shiftrightunsigned(F.xxhash64("node"), 40), F.col("_n")).cast("int"))
+    split = split.withColumn("_part", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array("_own"))))
+    return split.withColumn("member", F.col("member") & (F.col("_part") == F.col("_own"))).withColumn("b", F.col("b") * PARTS + F.col("_part")).select(*_CELL)
 
-    A cell is split into PARTS of its members, each of which meets all leading rows.
+
+def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
+    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked; see _split for cells of many.
     """
-    own, parts = F.pmod(F.shiftrightunsigned(F.xxhash64("node"), 40), F.lit(PARTS)).cast("int"), F.sequence(F.lit(0), F.lit(PARTS - 1))
-    split = cells.withColumn("_own", own).withColumn("_part", F.explode(F.when(F.col("leads"), parts).otherwise(F.array("_own"))))
-    split = split.withColumn("member", F.col("member") & (F.col("_part") == F.col("_own"))).withColumn("b", F.col("b") * PARTS + F.col("_part"))
-    met = _together(split.join(texts, "node").select(*_CELL, "text"))
+    met = _together(_split(cells).join(texts, "node").select(*_CELL, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:

@@ -637,3 +637,19 @@ def test_odd_sketches():
     b[0, :10] += np.uint64(1)
     bits = int(np.bitwise_count(odd_sketches(a) ^ odd_sketches(b)).sum())
     assert 10 <= bits <= 20 and bits % 2 == 0 and most_odd_bits(72, 85) >= 44
+
+
+def test_leaders_are_copied_in_wide_cells_alone(spark, monkeypatch):
+    import sylva.llm.op10_oddsketch as op
+
+    monkeypatch.setattr(op, "FULL", 100)
+    monkeypatch.setattr(op, "PARTS", 4)
+    kept = {1: 100, 2: 250, 3: 1000}
+    rows = spark.createDataFrame([(k, 0, 1, 0, 0, i % 2 == 0, i % 3 > 0, True, f"{k} {i}".encode(), b"", 9, [0], [0], n) for k, n in kept.items() for i in range(n)], f"{op._CELL_TYPES}, kept int")
+    got = [r.asDict() for r in op._split(rows).collect()]
+    parts = {1: 1, 2: 3, 3: 4}
+    assert {k: sum(r["key"] == k for r in got) for k in kept} == {k: n // 2 * (1 + parts[k]) for k, n in kept.items()}
+    # Each member stands in one part, each leading row in all.
+    members = [(r["key"], r["node"]) for r in got if r["member"]]
+    assert len(members) == len(set(members)) == rows.filter("member").count()
+    assert {(k, len({r["b"] for r in got if r["key"] == k and r["leads"] and r["node"] == f"{k} 0".encode()})) for k in kept} == set(parts.items())
