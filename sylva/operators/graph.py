@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import met, paired, spread, written
 
 
 def live(links: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def lifted(edges: DataFrame, join: Column | None = None) -> DataFrame:
 
     Every node of edges has one row for each way up (one, in a forest). With join, an expression over the columns high and low, edges
     also have `path`, and what join makes of the paths of all steps, from the top down, is returned as path. Each round joins every
-    pointer with the one it points to, so n rows are written log2(depth) times.
+    pointer with the one it points to, so n rows are written log2(depth) times. Tops that very many pointers share are met by broadcast.
     """
     also = ["path"] if join is not None else []
     known = written(edges.filter("node is not null and up is not null").select("node", F.col("up").alias("top"), F.lit(1).cast("long").alias("depth"), *also), "lifted")
@@ -42,10 +42,10 @@ def lifted(edges: DataFrame, join: Column | None = None) -> DataFrame:
     reach = 1
     while True:
         far = known.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *[F.col("path").alias("high") for _ in also])
-        step = known.withColumnsRenamed({"path": "low"}).join(far, "top", "left")
-        met = F.col("_top").isNotNull()
-        path = [F.when(met, join).otherwise(F.col("low")).alias("path") for _ in also]
-        step = step.select("node", F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), *path, met.alias("_met"))
+        step = met(known.withColumnsRenamed({"path": "low"}), far, "top", "left")
+        moved = F.col("_top").isNotNull()
+        path = [F.when(moved, join).otherwise(F.col("low")).alias("path") for _ in also]
+        step = step.select("node", F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), *path, moved.alias("_met"))
         step = written(step, "lifted")
         known = step.drop("_met")
         if step.filter("_met").isEmpty():
@@ -62,7 +62,8 @@ def walk(nodes: DataFrame, links: DataFrame, root: str, most_depth: int | None =
     occur more than once. The separator sorts below all characters of order keys, whose width may vary (T-33).
     A cycle among live contains links anywhere is an error; an unknown root gives no rows.
     """
-    below = live(links).filter("parent_id is not null").join(nodes.select(F.col("id").alias("child_id")), "child_id").select("parent_id", "child_id", "link_type", "order_key")
+    below = written(live(links).filter("parent_id is not null").select("parent_id", "child_id", "link_type", "order_key"), "below")
+    below = written(met(below, nodes.select(F.col("id").alias("child_id")), "child_id", "inner"), "below")
     own = F.concat(F.lit("/"), F.coalesce("order_key", F.lit("")), F.lit("/"), F.col("child_id"))
     held = below.filter("link_type = 'contains'").select(F.col("child_id").alias("node"), F.col("parent_id").alias("up"), own.alias("path"))
     start = nodes.filter(F.col("id") == root).select("id", F.lit(0).alias("depth"), F.lit("contains").alias("link_type"), F.lit("").alias("sort_path"))
@@ -70,10 +71,10 @@ def walk(nodes: DataFrame, links: DataFrame, root: str, most_depth: int | None =
     found = lifted(cut, F.concat("high", "low")).filter(F.col("top") == root)
     if not held.filter(F.col("node") == root).isEmpty():
         lifted(held.select("node", "up"))  # a root that lies below itself
-    found = found.join(start.select(F.col("id").alias("top")), "top", "left_semi")
+    found = found.join(F.broadcast(start.select(F.col("id").alias("top"))), "top", "left_semi")
     inside = start.unionByName(found.select(F.col("node").alias("id"), F.col("depth").cast("int").alias("depth"), F.lit("contains").alias("link_type"), F.col("path").alias("sort_path")))
     refs = below.filter("link_type <> 'contains'").withColumnRenamed("link_type", "_type")
-    refs = inside.join(refs, F.col("id") == F.col("parent_id")).select(F.col("child_id").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("_type").alias("link_type"), F.concat("sort_path", own).alias("sort_path"))
+    refs = met(refs.withColumnRenamed("parent_id", "id"), inside, "id", "inner").select(F.col("child_id").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("_type").alias("link_type"), F.concat("sort_path", own).alias("sort_path"))
     out = inside.unionByName(refs)
     return out if most_depth is None else out.filter(F.col("depth") <= most_depth)
 
@@ -101,10 +102,10 @@ def ancestors(contains: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame, contains: DataFrame) -> DataFrame:
     """id, path: the labels from the root down, joined by slashes (GR-07). Null labels are empty; ancestors without a node have no label."""
     named = nodes.select(F.col("id").alias("node"), F.coalesce("label", F.lit("")).alias("path"))
-    edges = contains.select(F.col("child_id").alias("node"), F.col("parent_id").alias("up")).join(named, "node")
-    up = lifted(edges, F.concat("high", F.lit("/"), "low")).join(named.select(F.col("node").alias("top"), F.col("path").alias("_top")), "top", "left")
+    edges = paired(contains.select(F.col("child_id").alias("node"), F.col("parent_id").alias("up")), named, "node", "inner")
+    up = met(lifted(edges, F.concat("high", F.lit("/"), "low")), named.select(F.col("node").alias("top"), F.col("path").alias("_top")), "top", "left")
     up = up.select(F.col("node").alias("id"), F.concat_ws("/", "_top", "path").alias("path"))
-    return nodes.select("id", F.coalesce("label", F.lit("")).alias("_own")).join(up, "id", "left").select("id", F.coalesce("path", "_own").alias("path"))
+    return paired(nodes.select("id", F.coalesce("label", F.lit("")).alias("_own")), up, "id", "left").select("id", F.coalesce("path", "_own").alias("path"))
 
 
 def resolved(lookups: DataFrame, nodes: DataFrame, links: DataFrame, root: str) -> DataFrame:

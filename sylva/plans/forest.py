@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.authz import ANY, KEY, PUBLIC, TAG
-from ..sources.tables import millis, table
+from ..sources.tables import millis, spread, table
 
 AS_OF = 1500  # the time at which expiry and activity are judged
 
@@ -46,7 +46,8 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
     t = lambda name: table(spark, d, name)
     root = F.lit("root")
-    refs = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_returnflag") == "R").alias("returned"))
+    items = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_returnflag"), "l_orderkey", "l_partkey", rows=t("lineitem").count())
+    refs = items.groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_returnflag") == "R").alias("returned"))
     parts = [
         row(t("region"), root, _id("r", "r_regionkey"), "contains", "r_regionkey"), row(t("nation"), _id("r", "n_regionkey"), _id("n", "n_nationkey"), "contains", "n_nationkey"),
         row(t("customer"), _id("n", "c_nationkey"), _id("c", "c_custkey"), "contains", "c_custkey"), row(t("supplier"), _id("n", "s_nationkey"), _id("s", "s_suppkey"), "contains", "s_suppkey"),

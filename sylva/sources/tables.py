@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task sorts or groups.
+ROWS = 1 << 18
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +41,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df dealt by keys to as many tasks as its rows ask for, ROWS each, and to no fewer than the shuffle partitions.
+
+    What a task sorts or groups then stays the same however large df is; adaptive execution, which goes by compressed bytes, doesn't merge these. Without rows they
+    are counted, which for a table as written takes its footers alone.
+    """
+    n = df.count() if rows is None else rows
+    return df.repartition(max(partitions(df.sparkSession), -(-n // ROWS)), *keys)
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, how: str, rows: int | None = None) -> DataFrame:
+    """left joined with right on a key that few rows of left share, both spread by the rows of left."""
+    n = left.count() if rows is None else rows
+    return spread(left, key, rows=n).join(spread(right, key, rows=n), key, how)
+
+
+def met(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """left joined with right on key, both spread; how: left, inner, left_semi or left_anti.
+
+    Keys that more than ROWS rows of left have are as many as its rows / ROWS at most, and meet right by broadcast, so no task gets all rows of one key. left is read three
+    times, so it should be a table as written, or a scan; right should have few rows for each key.
+    """
+    n = left.count()
+    pieces = -(-n // ROWS)
+    if pieces > 1:
+        hot = F.broadcast(written(left.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > ROWS) & F.col(key).isNotNull()).select(key), "hot"))
+        often = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+        left = left.join(hot, key, "left_anti")
+    rest = paired(left, right, key, how, n)
+    return rest.unionByName(often) if pieces > 1 else rest
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.unix_date(F.to_date(ts)).cast("long") * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.date_part(F.lit("second"), ts) * 1000).cast("long")

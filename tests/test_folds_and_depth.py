@@ -336,3 +336,38 @@ def test_added_columns_replace_their_namesakes(spark):
     assert sets.durable_and_temp(rows, rows).select("temp").distinct().count() == 2
     lines = spark.createDataFrame([("central a /b c", "old")], "line string, mode string")
     assert reconcile.placements(lines, "line").first().asDict() == {"line": "central a /b c", "mode": "central", "root": "a", "instance": None, "path": "/b c", "error": None}
+
+
+# --- tables of one hot key ---------------------------------------------------------------------------------------
+
+
+def test_joins_on_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 16)
+    left = tables.written(spark.createDataFrame([("hot" if i < 60 else None if i < 80 else f"k{i % 30}" if i < 110 else "alone", i) for i in range(150)], "key string, i int"), "left")
+    right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 30, 2)] + [(None, 5)], "key string, v int")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got = tables.met(left, right, "key", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "key", how).collect()))
+
+
+def test_rows_of_one_task_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100)
+    n = 4000
+    nodes = spark.range(n + 1).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("folder").alias("node_type"), F.col("id").cast("string").alias("label"))
+    parent = F.when(F.col("id") < 3, F.lit(0)).otherwise(F.lit(1))  # one folder holds nearly all
+    links = spark.range(1, n + 1).select(F.concat(F.lit("n"), parent.cast("string")).alias("parent_id"), F.concat(F.lit("n"), "id").alias("child_id"), F.lit("contains").alias("link_type"), F.lit("V").alias("order_key"), F.lit(False).alias("removed"), F.lit(False).alias("suspended"))
+    most = lambda df: max(len(p) for p in df.rdd.glom().collect())
+    known = graph.lifted(links.select(F.col("child_id").alias("node"), F.col("parent_id").alias("up")))
+    assert known.filter("top = 'n0'").count() == n
+    assert graph.walk(nodes, links, "n0").count() == n + 1
+    assert {r.id: r.path for r in graph.paths(nodes, links).filter("id in ('n1', 'n9')").collect()} == {"n1": "0/1", "n9": "0/1/9"}
+    want = spark.range(n).select(F.col("id").alias("file"))
+    found = reconcile.difference(want.filter("file % 2 = 0"), want.filter("file % 3 = 0"), ["file"])
+    assert most(found) < 300
+    assert most(tables.paired(nodes, links.withColumnRenamed("child_id", "id"), "id", "left")) < 300
+
+
+def test_difference_with_nulls(spark):
+    rows = lambda *xs: spark.createDataFrame(list(xs), "a string, b int")
+    got = reconcile.difference(rows(("x", 1), ("x", 1), ("y", 2), (None, 3)), rows(("y", 2), ("z", 4), ("z", 4), (None, 3)), ["a", "b"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("x", 1, "add"), (None, 3, "add"), ("z", 4, "retract"), (None, 3, "retract")]))
