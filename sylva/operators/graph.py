@@ -185,13 +185,17 @@ def purge_cascade(links: DataFrame, purged: DataFrame, temp: DataFrame) -> DataF
 
     Each round takes the children of what has gone last and keeps those without another parent; nodes that aren't in temp stay.
     """
-    inbound = written(links.filter("not removed").select("parent_id", F.col("child_id").alias("id")).distinct(), "inbound")
+    inbound = written(links.filter("not removed").select("parent_id", F.col("child_id").alias("id")), "inbound")
+    temp = written(temp.select("id"), "temp")
     gone = written(purged.select("id").distinct().select("id", F.lit(0).alias("round")), "gone")
     last, number = gone, 0
     while True:
         number += 1
-        near = last.select(F.col("id").alias("parent_id")).join(inbound, "parent_id").select("id").distinct().join(temp.select("id"), "id", "left_semi").join(gone, "id", "left_anti")
-        kept = inbound.join(near, "id").join(gone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
+        below = written(met(inbound, last.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id"), "below")
+        near = spread(below, "id").distinct().join(temp, "id", "left_semi").join(gone, "id", "left_anti")
+        near = written(near, "near")
+        others = written(met(inbound, near, "id", "left_semi"), "others")
+        kept = met(others, gone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
         last = written(near.join(kept, "id", "left_anti").select("id", F.lit(number).alias("round")), "last")
         if last.isEmpty():
             return gone
