@@ -7,11 +7,13 @@ those of their name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import location_parts, safe_name
-from ..sources.tables import written
+from ..sources.tables import spread, written
 
 
 def scan_diff(seen: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -187,8 +189,12 @@ def missing_bytes(files: DataFrame, held: DataFrame) -> DataFrame:
 
 def difference(want: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Rows to add and to retract so that have becomes want (RC-10, SET-05)."""
-    add = want.select(*keys).distinct().join(have, keys, "left_anti").withColumn("action", F.lit("add"))
-    return add.unionByName(have.select(*keys).distinct().join(want, keys, "left_anti").withColumn("action", F.lit("retract")))
+    side = lambda df, is_want: df.select(*keys, F.lit(is_want).alias("_want"))
+    both = spread(side(want, True).unionByName(side(have, False)), *keys, rows=want.count() + have.count())
+    per = both.groupBy(*keys).agg(F.max("_want").alias("_add"), F.max(~F.col("_want")).alias("_retract"))
+    unlike = reduce(Column.__or__, [F.col(k).isNull() for k in keys])  # null keys match nothing
+    add, retract = F.when(F.col("_add") & (~F.col("_retract") | unlike), "add"), F.when(F.col("_retract") & (~F.col("_add") | unlike), "retract")
+    return per.select(*keys, F.explode(F.array_compact(F.array(add, retract))).alias("action"))
 
 
 def claimed_names(rows: DataFrame, parent: str, name: Column, key: str, most_bytes: int = 240) -> DataFrame:
