@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import location_parts, safe_name
-from ..sources.tables import spread, written
+from ..sources.tables import met, paired, spread, written
 
 
 def scan_diff(seen: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -233,10 +233,10 @@ def export_plan(walk: DataFrame, sources: DataFrame, mode: str) -> DataFrame:
     from .graph import lifted
 
     named = claimed_names(walk.select("id", "parent_id", "node_type", "label"), "parent_id", safe_name(F.coalesce("label", F.lit("")), F.col("id")), "id")
-    inner = named.join(walk.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    inner = written(met(written(named, "named"), walk.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi"), "inner")
     rel = lifted(inner.select(F.col("id").alias("node"), F.col("parent_id").alias("up"), F.col("export_name").alias("path")), F.concat("high", F.lit("/"), "low"))
     found = sources.filter("path is not null").groupBy("id").agg(F.min("path").alias("path"))
-    out = inner.select("id", "node_type").join(rel.select(F.col("node").alias("id"), F.col("path").alias("rel")), "id").join(found, "id", "left")
+    out = paired(inner.select("id", "node_type"), rel.select(F.col("node").alias("id"), F.col("path").alias("rel")), "id", "inner").join(found, "id", "left")
     file = F.col("node_type") == "file"
     action = F.when(~file, "mkdir").when(F.col("path").isNull(), "skip").otherwise(mode)
     return out.select("id", "rel", action.alias("action"), F.when(file & F.col("path").isNull(), "no readable source").alias("reason"))

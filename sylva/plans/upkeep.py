@@ -450,9 +450,9 @@ def export_plan(spark: SparkSession, d: str) -> DataFrame:
     """A plan that exports the tree as hard links (SNK-03)."""
     homes = V.contains(spark, d).select(F.col("child_id").alias("id"), "parent_id")
     sources = table(spark, d, "lineitem").filter("l_quantity > 45").select(_id("p", "l_partkey").alias("id"), _id("/disk/", "l_suppkey").alias("path"))
-    walk = V.nodes(spark, d).join(homes, "id", "left")
+    walk = tables.written(tables.paired(V.nodes(spark, d), homes, "id", "left"), "walk")
     below = graph.lifted(homes.select(F.col("id").alias("node"), F.col("parent_id").alias("up"))).filter("top = 'root'").select(F.col("node").alias("id"))
-    whole = walk.join(below, "id", "left_semi").unionByName(walk.filter("id = 'root'"))
+    whole = tables.written(tables.paired(walk, below, "id", "left_semi").unionByName(walk.filter("id = 'root'")), "whole")
     return reconcile.export_plan(whole, sources, "hardlink")
 
 
