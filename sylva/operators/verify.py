@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import partitions
+from ..sources.tables import met, partitions, written
 
 
 def chain_heads(log: DataFrame, seed: str) -> DataFrame:
@@ -70,6 +70,11 @@ def attested(manifests: DataFrame, files: DataFrame) -> DataFrame:
     return manifests.join(files.select("file_id", "content_hash"), ["file_id", "content_hash"], "left_semi").select("file_id", "chunk_size", "manifest_root")
 
 
+def _root_of_bytes(h: Column) -> Column:
+    """The same for hashes as bytes, whose order is that of their digits."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(h)), lambda x: F.lower(F.hex(x))), ""), 256)
+
+
 def _root_of(h: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(h)), ""), 256)
 
@@ -81,8 +86,9 @@ def commitment(rows: DataFrame, section: str | list[str], row: Column) -> DataFr
     section: a tree of fixed shape that any order of rows gives alike.
     """
     by = [section] if isinstance(section, str) else section
-    leaf = rows.select(*by, F.sha2(row, 256).alias("h"))
-    low = leaf.groupBy(*by, F.substring("h", 1, 4).alias("four")).agg(F.count("*").alias("n"), _root_of(F.col("h")).alias("h"))
+    leaf = rows.select(*by, F.unhex(F.sha2(row, 256)).alias("h")).withColumn("four", F.lower(F.hex(F.substring("h", 1, 2))))
+    leaf = leaf.repartition(*by, "four")  # groups are too many for partial lists to be of use
+    low = leaf.groupBy(*by, "four").agg(F.count("*").alias("n"), _root_of_bytes(F.col("h")).alias("h"))
     mid = low.groupBy(*by, F.substring("four", 1, 2).alias("two")).agg(F.sum("n").alias("n"), _root_of(F.concat("four", "h")).alias("h"))
     return mid.groupBy(*by).agg(F.sum("n").alias("n"), _root_of(F.concat("two", "h")).alias("root"))
 
@@ -93,10 +99,11 @@ def state_roots(sections: dict[str, tuple[DataFrame, str, list[str]]], members:
     sections: name -> relation, the column with the node that places a row, and its columns in order; names give the sections' order.
     members(id, region). A section without rows in a region counts as empty; nulls are written as empty fields.
     """
+    members = written(members.select("id", "region"), "members")
     parts = None
     for name, (df, node, columns) in sections.items():
         line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-        rows = df.withColumn("_line", line).select(F.col(node).alias("id"), "_line").join(members.select("id", "region"), "id").select("region", F.lit(name).alias("section"), "_line")
+        rows = met(df.select(F.col(node).alias("id"), line.alias("_line")).filter("id is not null"), members, "id", "inner").select("region", F.lit(name).alias("section"), "_line")
         parts = rows if parts is None else parts.unionByName(rows)
     roots = commitment(parts, ["region", "section"], F.col("_line")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("section", "root"))).alias("_of"))
     all_ = F.concat_ws("", *[F.concat(F.lit(f"{name}:"), F.coalesce(F.try_element_at("_of", F.lit(name)), F.lit(""))) for name in sections])

@@ -311,10 +311,12 @@ def _root_sql() -> str:
 def _state_roots(spark: SparkSession, d: str) -> DataFrame:
     marks = table(spark, d, "nation").select(_id("n", "n_nationkey").alias("node"))
     members = graph.region_of(V.nodes(spark, d), V.contains(spark, d), marks)
-    held = table(spark, d, "lineitem").select(_id("p", "l_partkey").alias("file_id"), "l_suppkey").distinct()
+    links = tables.written(V.links(spark, d), "links")
+    held = tables.spread(table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey").distinct()
+    held = tables.written(held.select(_id("p", "l_partkey").alias("file_id"), "l_suppkey"), "held")
     return verify.state_roots(
         {
-            "nodes": (V.nodes(spark, d), "id", ["id", "node_type", "label"]), "links": (V.links(spark, d), "parent_id", ["id", "parent_id", "child_id", "link_type", "order_key", "removed", "suspended"]),
+            "nodes": (V.nodes(spark, d), "id", ["id", "node_type", "label"]), "links": (links, "parent_id", ["id", "parent_id", "child_id", "link_type", "order_key", "removed", "suspended"]),
             "locations": (held, "file_id", ["file_id", "l_suppkey"]), "acl": (V.acl(spark, d), "node_id", ["node_id", "principal_kind", "principal_id", "authority", "rights", "expires_at"]),
         },
         members,
