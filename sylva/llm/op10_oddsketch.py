@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_runs, documents, lower_ascii, mixed, prefix_hash, span_hash, with_own_names, word_spans, written
+from .common import byte_runs, documents, lower_ascii, mixed, partitions, prefix_hash, span_hash, with_own_names, word_spans, written
 from .graph import components
 
 #: Bits of an odd sketch, members of a bucket whose sketches are compared in one cell, most parts of a cell where texts are, rows that fill such a part, members that share a
 #: copy of their leader, bits of the map of wanted texts.
 SKETCH_BITS, BLOCK, PARTS, FULL, STAR, MAP_BITS = 512, 4096, 8, 1024, 256, 1 << 24
+#: Bytes of text whose words are hashed at once (this takes some 40 bytes a byte), shingles of the texts that one task of cells gets.
+RUN, SHARE = 1 << 18, 1 << 20
 _U = np.uint64
 
 
@@ -79,7 +81,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in byte_runs(batch.column(1), 1 << 20):
+            for a, b, data, bounds in byte_runs(batch.column(1), RUN):
                 values, at = shingle_sets(data, bounds, words)
                 size = np.diff(at)
                 full = np.flatnonzero(size)
@@ -186,8 +188,9 @@ def _dealt(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.join(nodes.select("node", F.col("n_shingles").alias("size"), "odd", "bands"), "node").select(*_CELL)
 
 
-def _together(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "o", "b").sortWithinPartitions("key", "o", "b")
+def _together(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    dealt = rows.repartition("key", "o", "b") if tasks is None else rows.repartition(tasks, "key", "o", "b")
+    return dealt.sortWithinPartitions("key", "o", "b")
 
 
 def _sifted_cells(cells: DataFrame, most: int, percent: int) -> DataFrame:
@@ -221,33 +224,46 @@ def _split(cells: DataFrame) -> DataFrame:
     return split.withColumn("member", F.col("member") & (F.col("_part") == F.col("_own"))).withColumn("b", F.col("b") * PARTS + F.col("_part")).select(*_CELL)
 
 
-def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
-    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked; see _split for cells of many.
-    """
-    met = _together(_split(cells).join(texts, "node").select(*_CELL, "text"))
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about RUN bytes of a text column, so that what is made of texts is not held for more."""
+    for batch in batches:
+        for a, b, _, _ in byte_runs(batch.column(column), RUN):
+            yield batch.slice(a, b - a)
+
+
+def _links(batches: Iterator[pa.RecordBatch], words: int, most: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of the cells of sorted rows of _CELL and text. The sets of one cell, and of the run after it, are held at a time."""
+
+    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for a, b, data, bounds in byte_runs(batch.column(len(_CELL)), RUN):
+            values, at = shingle_sets(data, bounds, words)
+            out += [values[at[r] : at[r + 1]].copy() for r in range(b - a)]
+        return out
+
+    for cell, sets in _cells(_runs(batches, len(_CELL)), sets_of):
+        rows = _columns(cell)
+        names = cell.column(_CELL.index("component")).to_pylist()
+        index = {c: i for i, c in enumerate(dict.fromkeys(names))}
+        comp = np.array([index[c] for c in names])
+        found = []
+        for x in np.flatnonzero(rows["leads"]):
+            for y in _partners(x, rows, comp, most, percent):
+                if comp[y] != comp[x] and similar(sets[x], sets[y], percent):
+                    found.append((names[x], names[y]))
+                    comp[comp == comp[y]] = comp[x]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-            out = []
-            for a, b, data, bounds in byte_runs(batch.column(len(_CELL))):
-                values, at = shingle_sets(data, bounds, words)
-                out += [values[at[r] : at[r + 1]].copy() for r in range(b - a)]
-            return out
 
-        for cell, sets in _cells(batches, sets_of):
-            rows = _columns(cell)
-            names = cell.column(_CELL.index("component")).to_pylist()
-            index = {c: i for i, c in enumerate(dict.fromkeys(names))}
-            comp = np.array([index[c] for c in names])
-            found = []
-            for x in np.flatnonzero(rows["leads"]):
-                for y in _partners(x, rows, comp, most, percent):
-                    if comp[y] != comp[x] and similar(sets[x], sets[y], percent):
-                        found.append((names[x], names[y]))
-                        comp[comp == comp[y]] = comp[x]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
+    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked; see _split for cells of many.
 
-    return met.mapInArrow(run, "u binary, v binary").distinct()
+    Cells are dealt to one task for every SHARE shingles, and to no fewer than the shuffle partitions; adaptive execution, which goes by compressed bytes, doesn't merge these.
+    """
+    split = _split(cells)
+    tasks = max(partitions(cells.sparkSession), -(-(split.agg(F.sum("size")).first()[0] or 0) // SHARE))
+    met = _together(split.join(texts, "node").select(*_CELL, "text"), tasks)
+    return met.mapInArrow(lambda batches: _links(batches, words, most, percent), "u binary, v binary").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,14 +300,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     members = pairs.join(stars, "u").select("u", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("v").alias("node"))
     leaders = stars.select("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("u").alias("node"))
     met = members.unionByName(leaders).join(texts, "node").select("u", "salt", "role", "node", "text")
-    met = met.repartition("u", "salt").sortWithinPartitions("u", "salt", "role")
+    met = met.repartition(partitions(pairs.sparkSession), "u", "salt").sortWithinPartitions("u", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, mine = None, np.zeros(0, _U)
         for batch in batches:
             us, roles, nodes = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out_u, out_v = [], []
-            for a, b, data, bounds in byte_runs(batch.column(4)):
+            for a, b, data, bounds in byte_runs(batch.column(4), RUN):
                 values, at = shingle_sets(data, bounds, words)
                 for r in range(a, b):
                     own = values[at[r - a] : at[r - a + 1]]

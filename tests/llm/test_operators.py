@@ -653,3 +653,42 @@ def test_leaders_are_copied_in_wide_cells_alone(spark, monkeypatch):
     members = [(r["key"], r["node"]) for r in got if r["member"]]
     assert len(members) == len(set(members)) == rows.filter("member").count()
     assert {(k, len({r["b"] for r in got if r["key"] == k and r["leads"] and r["node"] == f"{k} 0".encode()})) for k in kept} == set(parts.items())
+
+
+def test_cells_hold_the_sets_of_few_texts():
+    """Memory goes by the widest cell and one run of texts, not by the batch, and its pairs are found."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sylva.llm import op10_oddsketch as op
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in op._CELL_TYPES.split(", "))] + [("text", pa.string())])
+    draw, rows = random.Random(5), []
+    for key in range(3000):
+        text = " ".join(f"w{draw.randrange(10**6)}" for _ in range(400))
+        for i, t in enumerate((text, f"{text} end" if key % 3 else text[::-1])):
+            node = f"{key} {i}".encode()
+            rows.append((key, 0, 0, 0, 0, True, True, True, node, node, 396 + i * (key % 3 > 0), [0] * 8, [key] + [2 * key + i] * 23, t))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    assert batch.nbytes > 16 << 20
+    tracemalloc.start()
+    links = [x for b in op._links(iter([batch]), 5, 512, 80) for x in b.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(int(x.split()[0]) for x in links) == [key for key in range(3000) if key % 3]
+    assert peak < 30 << 20, peak
+
+
+def test_cells_are_dealt_by_their_shingles(spark, monkeypatch):
+    """Adaptive execution, which goes by compressed bytes, doesn't merge tasks of texts."""
+    from sylva.llm import op10_oddsketch as op
+
+    monkeypatch.setattr(op, "SHARE", 500)
+    cells = spark.createDataFrame([(k, 0, 0, 0, 0, i == 0, i > 0, True, f"{k} {i}".encode(), f"{k} {i}".encode(), 100, [0] * 8, [0] * 24, 2) for k in range(20) for i in range(2)], f"{op._CELL_TYPES}, kept int")
+    texts = cells.select("node", F.lit("a b c d e f").alias("text"))
+    got = op._linked(cells, texts, 5, 72, 80)
+    assert got.count() == 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(key#\d+L?, o#\d+, b#\d+, 8\), REPARTITION_BY_NUM", plan), plan
