@@ -126,11 +126,12 @@ def _partners(x: int, rows: dict[str, np.ndarray], comp: np.ndarray, most: int,
     band, twin, size, bands = rows["band"][x], rows["twin"][x], rows["size"], rows["bands"]
     y = np.flatnonzero(rows["member"] & (comp != comp[x]) & ~(rows["outer"] & (rows["node"] < rows["node"][x])))
     y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-    alike = bands[y] == bands[x]
-    y = y[~alike[:, :band].any(1) & ~alike[:, band + 1 : twin].any(1)]
     bits = _popcount(rows["odd"][y], rows["odd"][x])
-    near = np.flatnonzero(bits <= most)
-    return y[near[np.argsort(bits[near], kind="stable")]]
+    near = bits <= most
+    y, bits = y[near], bits[near]
+    alike = bands[y] == bands[x]
+    first = ~alike[:, :band].any(1) & ~alike[:, band + 1 : twin].any(1)
+    return y[first][np.argsort(bits[first], kind="stable")]
 
 
 _CELL = ["key", "o", "b", "band", "twin", "leads", "member", "outer", "node", "component", "size", "odd", "bands"]
@@ -161,7 +162,8 @@ def _columns(cell: pa.RecordBatch) -> dict[str, np.ndarray]:
     of = lambda name: cell.column(_CELL.index(name))
     flat = lambda name: np.asarray(of(name).flatten()).reshape(n, -1)
     out = {x: of(x).to_numpy(zero_copy_only=False) for x in ("band", "twin", "leads", "member", "outer", "size")}
-    return out | {"node": np.array(of("node").to_pylist(), object), "odd": flat("odd").view(_U), "bands": flat("bands")}
+    rank = np.unique(np.array(of("node").to_pylist(), object), return_inverse=True)[1]
+    return out | {"node": rank, "odd": flat("odd").view(_U), "bands": flat("bands")}
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -231,6 +233,11 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
             yield batch.slice(a, b - a)
 
 
+def _portions(y: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """y cut so that the sets of a portion have about RUN bytes together."""
+    return np.split(y, np.flatnonzero(np.diff(np.cumsum(size[y]) * 8 // RUN)) + 1)
+
+
 def _links(batches: Iterator[pa.RecordBatch], words: int, most: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links (u, v) of the cells of sorted rows of _CELL and text. The sets of one cell, and of the run after it, are held at a time."""
 
@@ -248,22 +255,24 @@ def _links(batches: Iterator[pa.RecordBatch], words: int, most: int, percent: in
         comp = np.array([index[c] for c in names])
         found = []
         for x in np.flatnonzero(rows["leads"]):
-            for y in _partners(x, rows, comp, most, percent):
-                if comp[y] != comp[x] and similar(sets[x], sets[y], percent):
-                    found.append((names[x], names[y]))
-                    comp[comp == comp[y]] = comp[x]
+            for y in _portions(_partners(x, rows, comp, most, percent), rows["size"]):
+                y = y[comp[y] != comp[x]]
+                for z in y[similar_to(sets[x], [sets[i] for i in y], percent)]:
+                    if comp[z] != comp[x]:
+                        found.append((names[x], names[z]))
+                        comp[comp == comp[z]] = comp[x]
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
 
 def _linked(cells: DataFrame, texts: DataFrame, words: int, most: int, percent: int) -> DataFrame:
-    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked; see _split for cells of many.
+    """Links (u, v) of components that have similar members in a cell, confirmed where these meet: enough to join what is linked, and a link may come from several cells; see _split for cells of many.
 
     Cells are dealt to one task for every SHARE shingles, and to no fewer than the shuffle partitions; adaptive execution, which goes by compressed bytes, doesn't merge these.
     """
     split = _split(cells)
     tasks = max(partitions(cells.sparkSession), -(-(split.agg(F.sum("size")).first()[0] or 0) // SHARE))
     met = _together(split.join(texts, "node").select(*_CELL, "text"), tasks)
-    return met.mapInArrow(lambda batches: _links(batches, words, most, percent), "u binary, v binary").distinct()
+    return met.mapInArrow(lambda batches: _links(batches, words, most, percent), "u binary, v binary")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -290,10 +299,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def similar_to(mine: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """What similar gives of one set and each of the others, all not empty, in one pass."""
+    if not others:
+        return np.zeros(0, bool)
+    size, flat = np.array([len(x) for x in others]), np.concatenate(others)
+    met = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+    both = np.add.reduceat(met, np.cumsum(size) - size, dtype=np.int64)
+    return 100 * both >= percent * (len(mine) + size - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union.
+    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union; they may repeat where texts do.
 
-    pairs: distinct. texts: node, text. Each leader u meets its members sorted behind it and only its own set is held;
+    pairs: distinct, and a table as written, as they are read three times. texts: node, text. Each leader u meets its members sorted behind it and only its own set is held;
     a leader of many members is copied once for every STAR of them.
     """
     stars = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("n"))
@@ -318,7 +337,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         out_v.append(nodes[r])
             yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary())], names=["u", "v"])
 
-    return met.mapInArrow(run, "u binary, v binary").distinct()
+    return met.mapInArrow(run, "u binary, v binary")
 
 
 def _groups(buckets: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -335,11 +354,11 @@ def _groups(buckets: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return open_.filter(~wide).unionByName(hot)
 
 
-def _joined(nodes: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component once the components that links(u, v) names are one; a node without a component is its own."""
-    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-    named = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    return named.join(joined, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp(node, component), which leaves out nodes that are their own component, once the components that links(u, v) names are one."""
+    joined = components(links)
+    moved = comp.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_joined")), "component", "left")
+    return moved.select("node", F.coalesce("_joined", "component").alias("component")).unionByName(joined)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3) -> DataFrame:
@@ -364,22 +383,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     buckets = written(banded.join(shared, "bucket"), "buckets")
     most = most_odd_bits(bands * rows, percent)
     of = lambda name: nodes.select(F.col("node").alias(name), F.col("odd").alias(f"odd_{name}"))
-    stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    stars = buckets.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).repartition("v").distinct()  # a node has one leader a band at most
     stars = written(_sifted(stars.join(of("v"), "v").join(of("u"), "u"), most), "stars")
     ends = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
     texts = _texts(docs, nodes.select("node", "rep").join(ends, "node"))
     # The least leader first; the others only for nodes that this leaves in other components.
-    comp = written(components(confirmed(stars.groupBy("v").agg(F.min("u").alias("u")), texts, words, percent)), "components")
+    comp = components(confirmed(written(stars.groupBy("v").agg(F.min("u").alias("u")), "first"), texts, words, percent))
     named = lambda name: nodes.select("node").join(comp, "node", "left").select(F.col("node").alias(name), F.coalesce("component", "node").alias(f"c{name}"))
     apart = written(stars.join(named("u"), "u").join(named("v"), "v").filter("cu <> cv"), "apart")
     if not apart.isEmpty():
         links = confirmed(apart.select("u", "v"), texts, words, percent).join(apart, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        comp = written(_joined(nodes, comp, links), "components")
+        comp = written(_joined(comp, links), "components")
     cells = written(_sifted_cells(_dealt(written(_groups(buckets, nodes, comp), "groups"), nodes), most, percent), "cells")
     if not cells.isEmpty():
         more = cells.select("node").distinct().join(texts.select("node"), "node", "left_anti")
         texts = texts.unionByName(_texts(docs, nodes.select("node", "rep").join(more, "node")))
-        comp = _joined(nodes, comp, _linked(cells, texts, words, most, percent))
+        comp = _joined(comp, _linked(cells, texts, words, most, percent))
     named = nodes.select("node", "least").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")

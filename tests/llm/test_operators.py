@@ -692,3 +692,78 @@ def test_cells_are_dealt_by_their_shingles(spark, monkeypatch):
     assert got.count() == 20
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(key#\d+L?, o#\d+, b#\d+, 8\), REPARTITION_BY_NUM", plan), plan
+
+
+def _least(edges):
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {x: find(x) for x in parent}
+
+
+def _graphs():
+    rng = random.Random(12)
+    yield "stars", [(100 * s + i, 100 * s) for s in range(20) for i in range(1, 30)], 3
+    yield "chain", [(i, i + 1) for i in range(40)], 15
+    yield "hub above its leaves", [(500, i) for i in range(30)] + [(500, 7), (3, 3)], 12
+    yield "sets of many parents", [e for n in range(3, 40) for e in ((n, n - 1), (n, n - 2))], 40
+    yield "random", [(rng.randrange(300), rng.randrange(300)) for _ in range(220)], 48
+
+
+@pytest.mark.parametrize(("edges", "most"), [pytest.param(e, m, id=n) for n, e, m in _graphs()])
+def test_components_take_few_shuffles(spark, monkeypatch, edges, most):
+    """Each shuffle costs a task for every shuffle partition, however few the edges are."""
+    from sylva.llm import graph
+
+    shuffles, plain = [], graph.written
+
+    def counted(df, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return plain(df, name)
+
+    monkeypatch.setattr(graph, "written", counted)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = _least([e for e in edges if e[0] != e[1]])
+    assert all(got.get(x, x) == c for x, c in want.items()) and set(got) <= set(want)
+    assert sum(shuffles) <= most, shuffles
+
+
+def test_one_set_is_held_against_many_at_once():
+    from sylva.llm.op10_oddsketch import _portions, similar, similar_to
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 80), dtype=np.uint64)) for _ in range(60)]
+    for x in sets:
+        for percent in (20, 50, 85):
+            assert similar_to(x, sets, percent).tolist() == [similar(x, y, percent) for y in sets]
+    assert similar_to(sets[0], [], 85).tolist() == []
+    size = np.array([len(x) * 1000 for x in sets])
+    y = np.arange(60)[::-1]
+    parts = _portions(y, size)
+    assert np.concatenate(parts).tolist() == y.tolist() and len(parts) > 5 and [len(p) for p in _portions(y[:0], size)] == [0]
+
+
+def test_links_are_told_by_portions(monkeypatch):
+    """Members that sketches let through, but that are not similar, cost one pass a leading row, not one each."""
+    import pyarrow as pa
+
+    from sylva.llm import op10_oddsketch as op
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in op._CELL_TYPES.split(", "))] + [("text", pa.string())])
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: 10 + i] + [f"x{i} {j}" for j in range(50 - i)]) for i in range(40)] + [" ".join([*base, "end"])] * 2
+    rows = [(1, 0, 0, 0, 0, True, True, True, b"%02d" % i, b"%02d" % i, 50, [0] * 8, [1] + [2 * i] * 23, t) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    calls = []
+    for name in ("similar", "similar_to"):
+        monkeypatch.setattr(op, name, lambda *a, f=getattr(op, name, None): calls.append(1) or f(*a))
+    links = [x for b in op._links(iter([batch]), 5, 512, 80) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert links == [(b"40", b"41")] and len(calls) <= len(rows), (links, len(calls))
