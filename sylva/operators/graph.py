@@ -183,20 +183,22 @@ def rooted(nodes: DataFrame, links: DataFrame, root_type: str = "root") -> DataF
 def purge_cascade(links: DataFrame, purged: DataFrame, temp: DataFrame) -> DataFrame:
     """id, round: nodes of temp(id) that go with purged(id), round 0: those left without an unremoved inbound link once their parents have gone (GR-10).
 
-    Each round takes the children of what has gone last and keeps those without another parent; nodes that aren't in temp stay.
+    Each round takes the children of what has gone last and keeps those without another parent; nodes that aren't in temp stay. Nothing but the keys
+    that very many links share is broadcast, so the driver's memory doesn't grow with the rows.
     """
     inbound = written(links.filter("not removed").select("parent_id", F.col("child_id").alias("id")), "inbound")
     temp = written(temp.select("id"), "temp")
     gone = written(purged.select("id").distinct().select("id", F.lit(0).alias("round")), "gone")
-    last, number = gone, 0
+    last, number, n_temp = gone, 0, temp.count()
     while True:
         number += 1
         below = written(met(inbound, last.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id"), "below")
-        near = spread(below, "id").distinct().join(temp, "id", "left_semi").join(gone, "id", "left_anti")
+        most = max(below.count(), n_temp, gone.count())
+        near = paired(below, temp, "id", "left_semi", most).distinct().join(spread(gone, "id", rows=most).hint("merge"), "id", "left_anti")
         near = written(near, "near")
         others = written(met(inbound, near, "id", "left_semi"), "others")
         kept = met(others, gone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id")
-        last = written(near.join(kept, "id", "left_anti").select("id", F.lit(number).alias("round")), "last")
+        last = written(paired(near, kept, "id", "left_anti", others.count()).select("id", F.lit(number).alias("round")), "last")
         if last.isEmpty():
             return gone
         gone = written(gone.unionByName(last), "gone")

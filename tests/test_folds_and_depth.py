@@ -350,6 +350,25 @@ def test_joins_on_hot_keys(spark, monkeypatch):
         assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "key", how).collect()))
 
 
+def test_a_cascade_broadcasts_no_table(spark, monkeypatch):
+    plans, write = [], tables.written
+
+    def written(df, name):
+        plans.append(f"{name}: {df._jdf.queryExecution().executedPlan().toString()}")
+        return write(df, name)
+
+    monkeypatch.setattr(tables, "written", written)
+    monkeypatch.setattr(graph, "written", written)
+    link = lambda *rows: spark.createDataFrame([(None, p, c, "contains", None, gone, False) for p, c, gone in rows], "id string, parent_id string, child_id string, link_type string, order_key string, removed boolean, suspended boolean")
+    links = link(("a", "x", False), ("a", "x", False), ("b", "x", True), ("a", "y", False), ("b", "y", False), ("x", "z", False), ("z", "deep", False), ("x", "kept", False), ("a", "a", False), (None, "x2", False), ("a", "x2", False), ("a", None, False))
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    gone = graph.purge_cascade(links, ids("a", "a"), ids("a", "x", "x", "x2", "y", "z", "deep", None))
+    assert sorted(map(tuple, gone.collect())) == [("a", 0), ("deep", 3), ("x", 1), ("z", 2)]
+    assert len(plans) > 10 and not [x for x in plans if "Broadcast" in x]
+    pair = tables.paired(links.withColumnRenamed("child_id", "key"), ids("x", "y").withColumnRenamed("id", "key"), "key", "left_semi")
+    assert pair.count() == 5 and "Broadcast" not in pair._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_of_one_task_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", 100)
     n = 4000
