@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import paired, spread, written
+from ..sources.tables import met, paired, spread, written
 
 READ, WRITE, ADMIN = 1, 2, 4
 ANY, KEY, PUBLIC, TAG = range(4)
@@ -43,7 +43,7 @@ def effective_rights(pairs: DataFrame, closure: DataFrame, acl: DataFrame, keys:
     wanted = pairs.select("principal", "node_id").distinct()
     wanted = written(wanted, "wanted")
     own = written(wanted.select("node_id").distinct(), "own")
-    above = closure.select(F.col("node").alias("node_id"), F.col("ancestor").alias("_at")).join(own, "node_id", "left_semi").unionByName(own.select("node_id", F.col("node_id").alias("_at")))
+    above = closure.select(F.col("node").alias("node_id"), F.col("ancestor").alias("_at")).join(own.hint("merge"), "node_id", "left_semi").unionByName(own.select("node_id", F.col("node_id").alias("_at")))
     above = written(above, "above")  # it is used four times
     n = wanted.count()
     depth = -(-above.count() // max(1, own.count()))
@@ -55,11 +55,11 @@ def effective_rights(pairs: DataFrame, closure: DataFrame, acl: DataFrame, keys:
     by_key = grants.filter(F.col("principal_kind") == KEY).groupBy(F.col("node_id").alias("_at"), F.col("principal_id").alias("principal")).agg(F.bit_or("rights").alias("rights"))
     by_tag = grants.filter(F.col("principal_kind") == TAG).join(live, "authority", "left_semi").groupBy(F.col("node_id").alias("_at"), F.col("principal_id").alias("_tag"), "authority").agg(F.bit_or("rights").alias("rights"))
     held = tags.join(live, "authority", "left_semi").select(F.col("member").alias("principal"), F.col("tag").alias("_tag"), "authority").distinct()
-    known = wanted.join(of.withColumnRenamed("pubkey", "principal"), "principal")
+    known = met(wanted, of.withColumnRenamed("pubkey", "principal"), "principal", "inner")
     keyed = known.filter("standing <> 'revoked'").join(by_key.select("principal").distinct(), "principal", "left_semi")
     keyed = by_principal(upward(keyed)).join(by_key, ["_at", "principal"]).select("principal", "node_id", "rights")
     # A key may be granted rights before it is ever authorized.
-    strange = wanted.join(of.select(F.col("pubkey").alias("principal")), "principal", "left_anti").join(by_key.select("principal").distinct(), "principal", "left_semi")
+    strange = met(wanted, of.select(F.col("pubkey").alias("principal")), "principal", "left_anti").join(by_key.select("principal").distinct(), "principal", "left_semi")
     strange = by_principal(upward(strange)).join(by_key, ["_at", "principal"]).select("principal", "node_id", "rights")
     tagged = upward(known.filter("standing = 'member'").join(held, "principal")).join(by_tag, ["_at", "_tag", "authority"]).select("principal", "node_id", "rights")
     granted = keyed.unionByName(strange).unionByName(tagged).groupBy("principal", "node_id").agg(F.bit_or("rights").alias("_own"))
@@ -143,7 +143,7 @@ def old_ground(targets: DataFrame, born: DataFrame) -> DataFrame:
     from .graph import lifted
 
     ends = lifted(born.select(F.col("id").alias("node"), F.col("parent_id").alias("up"))).select(F.col("node").alias("id"), "top")
-    return targets.join(ends, "id", "left").select(*targets.columns, F.coalesce("top", "id").alias("ground"))
+    return paired(targets, ends, "id", "left").select(*targets.columns, F.coalesce("top", "id").alias("ground"))
 
 
 def certified(events: DataFrame, roots: DataFrame, rights: DataFrame, root_node: str) -> DataFrame:

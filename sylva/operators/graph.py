@@ -94,7 +94,7 @@ def ancestors(contains: DataFrame) -> DataFrame:
         if top.isEmpty():
             return known
         far = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("distance").alias("_d"))
-        step = top.join(far, "ancestor").select("node", F.col("_far").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
+        step = met(top, far, "ancestor", "inner").select("node", F.col("_far").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
         known = written(known.unionByName(step), "ancestors")
         reach *= 2
 
@@ -117,14 +117,17 @@ def resolved(lookups: DataFrame, nodes: DataFrame, links: DataFrame, root: str)
     parts = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda x: x != "")
     at = lookups.select("path").distinct().filter("path is not null").select("path", parts.alias("_rest"), F.lit(root).alias("id"))
     at = written(at.join(nodes.filter(F.col("id") == root).select("id"), "id", "left_semi").select("path", "_rest", "id"), "resolved")
-    below = live(links).join(nodes.select(F.col("id").alias("child_id"), "label"), "child_id")
-    below = written(below.groupBy("parent_id", "label").agg(F.min(F.struct((F.col("link_type") != "contains").alias("other"), "order_key", "child_id")).alias("_x")).select("parent_id", "label", F.col("_x.child_id").alias("_child")), "below")
+    n = at.count()
+    below = live(links).join(nodes.select(F.col("id").alias("child_id"), "label").hint("merge"), "child_id")
+    below = below.groupBy("parent_id", "label").agg(F.min(F.struct((F.col("link_type") != "contains").alias("other"), "order_key", "child_id")).alias("_x"))
+    below = written(below.select(F.struct("parent_id", "label").alias("_at"), F.col("_x.child_id").alias("_child")), "below")
     done = at.filter("size(_rest) = 0").select("path", "id")
     while not at.filter("size(_rest) > 0").isEmpty():
-        step = at.filter("size(_rest) > 0").join(below, (F.col("id") == F.col("parent_id")) & (F.col("_rest")[0] == F.col("label")))
+        step = at.filter("size(_rest) > 0").withColumn("_at", F.struct(F.col("id").alias("parent_id"), F.col("_rest")[0].alias("label")))
+        step = met(step, below, "_at", "inner")
         at = written(step.select("path", F.expr("slice(_rest, 2, size(_rest))").alias("_rest"), F.col("_child").alias("id")), "resolved")
         done = done.unionByName(at.filter("size(_rest) = 0").select("path", "id"))
-    return lookups.select("path").distinct().join(done, "path", "left")
+    return paired(lookups.select("path").distinct(), done, "path", "left", n)
 
 
 def orphans(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -167,15 +170,20 @@ def rooted(nodes: DataFrame, links: DataFrame, root_type: str = "root") -> DataF
     """
     up = written(live(links).filter("parent_id is not null").select("parent_id", "child_id").distinct(), "up")
     top = nodes.filter(F.col("node_type") == root_type).select("id").unionByName(live(links).filter("parent_id is null").select(F.col("child_id").alias("id"))).distinct()
-    top = written(nodes.select("id").join(top, "id", "left_semi"), "roots")
+    n = nodes.count()
+    top = written(paired(nodes.select("id"), top, "id", "left_semi", n), "roots")
     reached, frontier = top, top
     while True:
-        frontier = written(frontier.join(up, F.col("id") == F.col("parent_id")).select(F.col("child_id").alias("id")).distinct().join(reached, "id", "left_anti"), "frontier")
+        below = met(up, frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi", few=True).select(F.col("child_id").alias("id"))
+        below = written(below.filter("id is not null"), "below")
+        most = max(below.count(), reached.count())
+        frontier = written(spread(below, "id", rows=most).distinct().join(spread(reached, "id", rows=most).hint("merge"), "id", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         reached = written(reached.unionByName(frontier), "reached")
-    mark = lambda df, name: df.select("id", F.lit(True).alias(name))
-    out = nodes.select("id").join(mark(top, "_root"), "id", "left").join(mark(reached, "_ok"), "id", "left").join(mark(up.select(F.col("child_id").alias("id")).distinct(), "_up"), "id", "left")
+    out = spread(nodes.select("id"), "id", rows=n)
+    for marked, name in ((top, "_root"), (reached, "_ok"), (up.select(F.col("child_id").alias("id")), "_up")):
+        out = out.join(spread(marked, "id", rows=n).distinct().withColumn(name, F.lit(True)).hint("merge"), "id", "left")
     reason = F.when(F.col("_root"), "root").when(F.col("_ok"), "reached").when(F.col("_up"), "unreached").otherwise("no parent")
     return out.select("id", F.coalesce("_ok", F.lit(False)).alias("valid"), reason.alias("reason"))
 
@@ -227,9 +235,9 @@ def would_cycle(moves: DataFrame, closure: DataFrame) -> DataFrame:
     path has the nodes from new_parent up to child; it is gathered for rejected moves alone and is as long as the forest is deep.
     """
     up = closure.select(F.col("node").alias("new_parent"), F.col("ancestor").alias("child"), "distance")
-    bad = moves.select("child", "new_parent").distinct().join(up, ["new_parent", "child"], "left").filter((F.col("child") == F.col("new_parent")) | F.col("distance").isNotNull())
+    bad = moves.select("child", "new_parent").distinct().join(up.hint("merge"), ["new_parent", "child"], "left").filter((F.col("child") == F.col("new_parent")) | F.col("distance").isNotNull())
     bad = bad.select("child", "new_parent", F.coalesce("distance", F.lit(0)).alias("distance"))
-    steps = bad.join(closure.select(F.col("node").alias("new_parent"), "ancestor", F.col("distance").alias("_d")), "new_parent").filter("_d <= distance")
+    steps = bad.join(closure.select(F.col("node").alias("new_parent"), "ancestor", F.col("distance").alias("_d")).hint("merge"), "new_parent").filter("_d <= distance")
     steps = steps.groupBy("child", "new_parent").agg(F.array_sort(F.collect_set(F.struct("_d", "ancestor"))).alias("_up"))
     out = bad.join(steps, ["child", "new_parent"], "left")
     above = F.coalesce(F.transform("_up", lambda x: x["ancestor"]), F.array().cast(f"array<{dict(bad.dtypes)['child']}>"))
@@ -243,7 +251,7 @@ def region_of(nodes: DataFrame, contains: DataFrame, marks: DataFrame) -> DataFr
     """
     marked = marks.select(F.col("node").alias("id")).distinct()
     edges = contains.select(F.col("child_id").alias("node"), F.col("parent_id").alias("up")).join(marked.withColumnRenamed("id", "node"), "node", "left_anti")
-    ends = nodes.select("id").join(lifted(edges).select(F.col("node").alias("id"), "top"), "id", "left").select("id", F.coalesce("top", "id").alias("_end"))
+    ends = paired(nodes.select("id"), lifted(edges).select(F.col("node").alias("id"), "top"), "id", "left").select("id", F.coalesce("top", "id").alias("_end"))
     found = ends.join(marked.select(F.col("id").alias("_end"), F.col("id").alias("region")), "_end", "left")
     return found.select("id", F.coalesce("region", F.lit("top")).alias("region"))
 
@@ -257,7 +265,7 @@ def nested_regions(regions: DataFrame, contains: DataFrame, members: DataFrame)
 def parent_regions(links: DataFrame, members: DataFrame) -> DataFrame:
     """child_id, region of each node's home, the parent of its unremoved contains link (JN-02, AGG-05). members(id, region)."""
     home = links.filter("link_type = 'contains' and not removed and parent_id is not null").select("child_id", F.col("parent_id").alias("id"))
-    return home.join(members.select("id", "region"), "id").select("child_id", "region")
+    return met(home, members.select("id", "region"), "id", "inner").select("child_id", "region")
 
 
 def homes(links: DataFrame, temp: DataFrame) -> DataFrame:
@@ -282,7 +290,7 @@ def chains(edges: DataFrame) -> DataFrame:
     One pointer a node, doubled until none moves, so a chain of n takes log2(n) joins of n rows. A cycle is an error.
     """
     up = lifted(edges.filter("next is not null").select(F.col("next").alias("node"), F.col("node").alias("up")))
-    out = edges.select("node").join(up.select("node", F.col("top").alias("head"), F.col("depth").alias("position")), "node", "left")
+    out = paired(edges.select("node"), up.select("node", F.col("top").alias("head"), F.col("depth").alias("position")), "node", "left")
     return out.select("node", F.coalesce("head", "node").alias("head"), F.coalesce("position", F.lit(0)).cast("long").alias("position"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import location_parts, safe_name
-from ..sources.tables import met, paired, spread, written
+from ..sources.tables import counted, met, paired, spread, written
 
 
 def scan_diff(seen: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -214,13 +214,13 @@ def claimed_names(rows: DataFrame, parent: str, name: Column, key: str, most_byt
     claim = F.when(F.col("_try") == 0, F.col("_first")).when(F.col("_try") == 1, F.concat("_first", "_tag")).otherwise(F.concat("_base", "_tag", F.lit("-"), (F.col("_try") - 1).cast("string")))
     state = written(state.withColumn("_name", claim), "names")
     while True:
-        holders = state.groupBy("_parent", "_name").agg(F.min("_key").alias("_holder"), F.count("*").alias("_n")).filter("_n > 1")
+        holders = written(state.groupBy("_parent", "_name").agg(F.min("_key").alias("_holder"), F.count("*").alias("_n")).filter("_n > 1"), "holders")
         if holders.isEmpty():
             break
-        joined = state.join(holders.select(F.col("_parent").alias("_p"), F.col("_name").alias("_m"), "_holder"), F.col("_parent").eqNullSafe(F.col("_p")) & (F.col("_name") == F.col("_m")), "left")
+        joined = state.join(counted(holders.select(F.col("_parent").alias("_p"), F.col("_name").alias("_m"), "_holder")), F.col("_parent").eqNullSafe(F.col("_p")) & (F.col("_name") == F.col("_m")), "left")
         moved = joined.withColumn("_try", F.col("_try") + F.when(F.col("_holder") < F.col("_key"), 1).otherwise(0)).select("_parent", "_key", "_base", "_tag", "_first", "_try")
         state = written(moved.withColumn("_name", claim), "names")
-    return rows.drop("export_name").join(state.select("_parent", "_key", F.col("_name").alias("export_name")), F.col(parent).eqNullSafe(F.col("_parent")) & (F.col(key) == F.col("_key")), "left").drop("_parent", "_key")
+    return rows.drop("export_name").join(state.select("_parent", "_key", F.col("_name").alias("export_name")).hint("merge"), F.col(parent).eqNullSafe(F.col("_parent")) & (F.col(key) == F.col("_key")), "left").drop("_parent", "_key")
 
 
 def export_plan(walk: DataFrame, sources: DataFrame, mode: str) -> DataFrame:
@@ -236,7 +236,7 @@ def export_plan(walk: DataFrame, sources: DataFrame, mode: str) -> DataFrame:
     inner = written(met(written(named, "named"), walk.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi"), "inner")
     rel = lifted(inner.select(F.col("id").alias("node"), F.col("parent_id").alias("up"), F.col("export_name").alias("path")), F.concat("high", F.lit("/"), "low"))
     found = sources.filter("path is not null").groupBy("id").agg(F.min("path").alias("path"))
-    out = paired(inner.select("id", "node_type"), rel.select(F.col("node").alias("id"), F.col("path").alias("rel")), "id", "inner").join(found, "id", "left")
+    out = paired(inner.select("id", "node_type"), rel.select(F.col("node").alias("id"), F.col("path").alias("rel")), "id", "inner").join(found.hint("merge"), "id", "left")
     file = F.col("node_type") == "file"
     action = F.when(~file, "mkdir").when(F.col("path").isNull(), "skip").otherwise(mode)
     return out.select("id", "rel", action.alias("action"), F.when(file & F.col("path").isNull(), "no readable source").alias("reason"))

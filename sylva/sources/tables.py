@@ -51,6 +51,11 @@ def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(max(partitions(df.sparkSession), -(-n // ROWS)), *keys)
 
 
+def counted(right: DataFrame) -> DataFrame:
+    """right, a table as written, for a join: broadcast if it has ROWS rows at most, else merged. Spark would go by the bytes of its files."""
+    return F.broadcast(right) if right.count() <= ROWS else right.hint("merge")
+
+
 def paired(left: DataFrame, right: DataFrame, key: str, how: str, rows: int | None = None) -> DataFrame:
     """left joined with right on a key that few rows of left share, both spread by the rows of left, or as for rows.
 
@@ -60,12 +65,14 @@ def paired(left: DataFrame, right: DataFrame, key: str, how: str, rows: int | No
     return spread(left, key, rows=n).join(spread(right, key, rows=n).hint("merge"), key, how)
 
 
-def met(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, key: str, how: str, few: bool = False) -> DataFrame:
     """left joined with right on key, both spread; how: left, inner, left_semi or left_anti.
 
     Keys that more than ROWS rows of left have are as many as its rows / ROWS at most, and meet right by broadcast, so no task gets all rows of one key. left is read three
-    times, so it should be a table as written, or a scan; right should have few rows for each key.
+    times, so it should be a table as written, or a scan; right should have few rows for each key. With few, right is a table as written, and is broadcast whole if it has ROWS rows at most, as counted.
     """
+    if few and right.count() <= ROWS:
+        return left.join(F.broadcast(right), key, how)
     n = left.count()
     pieces = -(-n // ROWS)
     if pieces > 1:

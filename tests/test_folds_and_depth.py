@@ -369,6 +369,32 @@ def test_a_cascade_broadcasts_no_table(spark, monkeypatch):
     assert pair.count() == 5 and "Broadcast" not in pair._jdf.queryExecution().executedPlan().toString()
 
 
+def test_walks_broadcast_no_table(spark, monkeypatch):
+    plans, write = [], tables.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def written(df, name):
+        plans.append(f"{name}: {plan(df)}")
+        return write(df, name)
+
+    monkeypatch.setattr(tables, "written", written)
+    monkeypatch.setattr(graph, "written", written)
+    links = write(spark.range(9).select(F.concat(F.lit("n"), "id").alias("parent_id"), F.concat(F.lit("n"), F.col("id") + 1).alias("child_id"), F.lit("contains").alias("link_type"), F.lit("V").alias("order_key"), F.lit(False).alias("removed"), F.lit(False).alias("suspended")), "links")
+    nodes = write(spark.range(10).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") == 0, "root").otherwise("folder").alias("node_type"), F.col("id").cast("string").alias("label")), "nodes")
+    closure = graph.ancestors(links)
+    moves = spark.createDataFrame([("n2", "n5"), ("n5", "n2")], "child string, new_parent string")
+    assert closure.count() == 45 and [(r.child, r.distance, r.path) for r in graph.would_cycle(moves, closure).collect()] == [("n2", 3, ["n5", "n4", "n3", "n2"])]
+    edges = write(nodes.select(F.col("id").alias("node")).join(links.select(F.col("parent_id").alias("node"), F.col("child_id").alias("next")), "node", "left"), "edges")
+    chains = graph.chains(edges)
+    assert {(r.head, r.position) for r in chains.collect()} == {("n0", i) for i in range(10)}
+    assert "Broadcast" not in plan(graph.rooted(nodes, links)) and "Broadcast" not in plan(closure)
+    plans = [x for x in plans if not x.startswith("below:")]  # few last ones go to all links
+    assert len(plans) > 10 and not [x for x in plans if "Broadcast" in x]
+    paths = spark.createDataFrame([("1/2/3",), ("1/3",)], "path string")
+    found = graph.resolved(paths, nodes, links, "n0")
+    assert {r.path: r.id for r in found.collect()} == {"1/2/3": "n3", "1/3": None} and "Broadcast" not in plan(found)
+
+
 def test_rows_of_one_task_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", 100)
     n = 4000
